@@ -123,3 +123,19 @@ def open_uri(uri: str):
             return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
         return fs.FileSystem.from_uri(uri)
     return fs.LocalFileSystem(), uri
+
+
+def lookup(rows: DataFrame, found: DataFrame, key: str, shares: int = 1000) -> DataFrame:
+    """``rows`` left joined with ``found``, which has each key once; the key may be skewed.
+
+    Keys that more than 1/``shares`` of all rows hold number under ``shares``, whatever the
+    input: their entries are broadcast, and the other rows are joined by a shuffle.
+    ``rows`` is read twice, so let it be a stored table.
+    """
+    counts = stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "key-counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = counts.where(F.col("_n") > max(100, total // shares)).select(key)
+    entries = found.join(F.broadcast(hot), key, "left_semi")
+    usual = rows.join(F.broadcast(hot), key, "left_anti").join(found, key, "left")
+    heavy = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(entries), key, "left")
+    return usual.unionByName(heavy)
