@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprint, token_counts
+from . import common, fingerprint, simhash, token_counts, token_files
 
 ORACLE: dict[str, str] = {}
 
@@ -23,10 +24,29 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = common.table(spark, sf_dir, "documents"), common.scratch_path(spark, "token-files")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    manifest = token_files.write_token_files(docs, "doc_id", "text", path, 2, folder)
+
+    def digest(ids):
+        return len(ids), zlib.crc32(ids.astype("<u4").tobytes())
+
+    read = token_files.read_token_files(manifest, folder, digest, "n_tokens long, ids_crc32 long")
+    return read.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
         "op2_token_counts": op2_token_counts,
+        "op3_simhash": op3_simhash,
+        "op4_token_files": op4_token_files,
     }
 
 
