@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprint, simhash, token_counts, token_files
+from . import common, fingerprint, mixing, simhash, token_counts, token_files
 
 ORACLE: dict[str, str] = {}
 
@@ -41,12 +41,53 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(common.table(spark, sf_dir, "documents"))
+
+
+ORACLE["op8_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT source, source_size, source_size * 2.0::DOUBLE AS cap, k,
+         CAST([5, 2, 1][CAST(k % 3 AS BIGINT) + 1] AS DOUBLE) AS w
+  FROM (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM s)
+), l AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
+             - coalesce(sum(cap) OVER (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / (sum(w) OVER ()
+               - coalesce(sum(w) OVER (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM w
+), cut AS (
+  SELECT level AS lv FROM l WHERE level * w <= cap ORDER BY cap / w, k LIMIT 1
+), t AS (
+  SELECT source, source_size, least(cap, coalesce((SELECT lv FROM cut) * w, cap)) AS target,
+         CAST(CAST('0x' || substr(md5('7:' || coalesce('=' || source, 'null')), 1, 8) AS BIGINT) AS DOUBLE)
+         / 4294967296.0::DOUBLE AS u
+  FROM l
+), p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.u,
+         CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+         row_number() OVER (PARTITION BY d.source
+           ORDER BY length(bin(d.size)) * 8 + (d.size >> greatest(length(bin(d.size)) - 3, 0)) DESC,
+                    d.doc_id NULLS FIRST, d.size) AS place
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST((floor(u + place * rate) - floor(u + (place - 1) * rate)) * size AS BIGINT) AS taken
+FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
         "op2_token_counts": op2_token_counts,
         "op3_simhash": op3_simhash,
         "op4_token_files": op4_token_files,
+        "op8_mixing": op8_mixing,
     }
 
 
