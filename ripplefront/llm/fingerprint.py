@@ -59,6 +59,9 @@ def collisions(members: DataFrame) -> DataFrame:
         .where(F.col("least") != F.col("most"))
         .select("digest")
     )
+    uneven = common.stored(uneven, "uneven-digests")
+    if uneven.isEmpty():  # as ever, but for a collision: then no member is sent to its digest's task
+        return uneven.select("digest", F.lit("").alias("canon"), F.lit(0).alias("ordinal"))
     texts = members.join(uneven, "digest", "left_semi").select("digest", "canon").distinct()
     w = Window.partitionBy("digest").orderBy("canon")
     return texts.select("digest", "canon", (F.row_number().over(w) - 1).alias("ordinal"))
