@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprint, lines, mixing, simhash, token_counts, token_files
+from . import common, fingerprint, lines, mixing, simhash, token_counts, token_files, warc
 
 ORACLE: dict[str, str] = {}
 
@@ -104,6 +104,26 @@ FROM p
 """
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.scratch_path(spark, "warc")
+    index = warc.write(common.table(spark, sf_dir, "pages"), folder)
+    return warc.read(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op10_warc"] = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages
+), g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to
+FROM g
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -112,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_files": op4_token_files,
         "op7_line_dedup": op7_line_dedup,
         "op8_mixing": op8_mixing,
+        "op10_warc": op10_warc,
     }
 
 
