@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprint, language, lines, mixing, simhash, token_counts, token_files, warc
+from . import common, decontaminate, fingerprint, language, lines, mixing, simhash, token_counts, token_files, warc
 
 ORACLE: dict[str, str] = {}
 
@@ -111,6 +111,10 @@ FROM p
 """
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.scratch_path(spark, "warc")
     index = warc.write(common.table(spark, sf_dir, "pages"), folder)
@@ -140,6 +144,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language": op6_language,
         "op7_line_dedup": op7_line_dedup,
         "op8_mixing": op8_mixing,
+        "op9_decontamination": op9_decontamination,
         "op10_warc": op10_warc,
     }
 
