@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, words
 from .token_counts import slices
 
 SHINGLE_WORDS = 5
@@ -35,44 +35,14 @@ BLOCK_BYTES = 16 << 20
 #: Windows fingerprinted at once; bounds memory.
 WINDOWS = 4096
 
-_tables: dict[str, np.ndarray] = {}
-
-
-def _folded() -> np.ndarray:
-    """Each code point's lower case if it is part of a word, else a blank."""
-    import sys
-    import unicodedata
-
-    if "fold" not in _tables:
-        out = np.full(sys.maxunicode + 1, 32, dtype=np.uint32)
-        for c in range(sys.maxunicode + 1):
-            if unicodedata.category(chr(c))[0] in "LMN":
-                low = chr(c).lower()
-                out[c] = ord(low) if len(low) == 1 else c
-        _tables["fold"] = out
-    return _tables["fold"]
-
 
 def word_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit code for each word of all texts in a row, and where each text's end."""
-    import pyarrow as pa
     from xxhash import xxh3_64_intdigest
 
-    raw = np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le", "replace"), dtype=np.uint32)
-    folded = _folded()[raw]
-    word = folded != 32
-    start = np.flatnonzero(word & ~np.concatenate(([False], word[:-1])))
-    stop = np.flatnonzero(word & ~np.concatenate((word[1:], [False]))) + 1
-    ends = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))
-    if not len(start):
-        return np.zeros(0, np.uint64), ends
-    # words back to back, as binary values that Arrow numbers
-    cuts = np.concatenate(([0], np.cumsum(stop - start))).astype(np.int64) * 4
-    flat = folded[word].astype("<u4").tobytes()
-    values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(cuts), pa.py_buffer(flat)])
-    numbered = values.dictionary_encode()
-    codes = np.array([xxh3_64_intdigest(w) for w in numbered.dictionary.to_pylist()], dtype=np.uint64)
-    return codes[numbered.indices.to_numpy()], ends
+    at, distinct, ends = words.numbered(texts)
+    codes = np.array([xxh3_64_intdigest(w) for w in distinct.to_pylist()], dtype=np.uint64)
+    return codes[at], ends
 
 
 def shingles(codes: np.ndarray) -> np.ndarray:
