@@ -9,7 +9,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, fingerprint, language, lines, mixing, simhash, token_counts, token_files, warc
+from . import (
+    common,
+    decontaminate,
+    fingerprint,
+    language,
+    lines,
+    mixing,
+    simhash,
+    token_counts,
+    token_files,
+    toxicity,
+    warc,
+)
 
 ORACLE: dict[str, str] = {}
 
@@ -41,6 +53,13 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
+    rows = docs.select("doc_id", common.held_out("doc_id").alias("held_out"), "text")
+    return toxicity.scored(rows, "text", model).drop("text")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = language.fit(docs)
@@ -141,6 +160,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_simhash": op3_simhash,
         "op4_token_files": op4_token_files,
+        "op5_toxicity": op5_toxicity,
         "op6_language": op6_language,
         "op7_line_dedup": op7_line_dedup,
         "op8_mixing": op8_mixing,
