@@ -28,8 +28,9 @@ END_ID = 2
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a main language. Null and letterless texts are rejected."""
     cols = docs.columns
-    found = language.identify(docs.withColumn("_in", F.struct(*cols)), "text", language.fit(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MAIN_LANGUAGE)).select("_in.*")
+    rows = docs.select(F.struct(*cols).alias("row"))
+    found = language.identify(rows, "row.text", language.fit(docs))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MAIN_LANGUAGE)).select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
