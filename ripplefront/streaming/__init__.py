@@ -1,0 +1 @@
+"""Empty by intent: none of the supported analyses runs over a stream."""
