@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
+from itertools import repeat
 
 import numpy as np
 
@@ -48,10 +49,15 @@ class ByteBpe:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.vocabulary = self.library.get_vocab_size()
         self.classes = _classes()
+        self.ascii = np.concatenate((self.classes[:128], np.zeros(128, np.uint8)))
+        names = self.library.get_vocab()
+        #: Ids whose piece starts with a blank, which this alphabet writes as U+0120.
+        self.opens = np.zeros(max(names.values()) + 1, dtype=np.int64)
+        self.opens[[i for t, i in names.items() if t[0] == chr(0x120)]] = 1
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.ids = np.zeros(0, dtype=np.uint32)
         self.sizes = np.zeros(0, dtype=np.int64)
 
@@ -59,78 +65,117 @@ class ByteBpe:
         found = self.library.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=np.uint32) for e in found]
 
-    def starts(self, text: str, firsts: np.ndarray) -> np.ndarray:
-        """Code points of a text at which pre-tokens start; ``firsts``: where documents do."""
-        c = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        kind = self.classes[c]
-        first = np.zeros(len(c) + 1, dtype=bool)
+    def kinds(self, data: np.ndarray) -> np.ndarray:
+        """The class of each byte's character."""
+        kind = self.ascii[data]
+        lead = np.flatnonzero(data >= 0xC0)
+        if len(lead):
+            padded = np.concatenate((data, np.zeros(3, np.uint8)))
+            b = [padded[lead + i].astype(np.uint32) for i in range(4)]
+            low = [x & 0x3F for x in b]
+            code = np.where(
+                b[0] < 0xE0, (b[0] & 0x1F) << 6 | low[1],
+                np.where(b[0] < 0xF0, (b[0] & 0x0F) << 12 | low[1] << 6 | low[2],
+                         (b[0] & 0x07) << 18 | low[1] << 12 | low[2] << 6 | low[3]),
+            )
+            found = self.classes[code]
+            size = 1 + (b[0] >= 0xC0) + (b[0] >= 0xE0) + (b[0] >= 0xF0)
+            for i in range(4):
+                kind[lead[size > i] + i] = found[size > i]
+        return kind
+
+    def starts(self, data: np.ndarray, kind: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """Bytes at which pre-tokens start; ``firsts``: where documents do. White space is ASCII."""
+        first = np.zeros(len(data) + 1, dtype=bool)
         first[firsts] = True
-        new = kind[1:] != kind[:-1]
-        start = np.concatenate(([True], new)) | first[:-1]
+        start = first[:-1].copy()
+        start[0] = True
+        start[1:] |= kind[1:] != kind[:-1]
         blank = kind == SPACE
         # the last blank before a word starts a pre-token; the word does only after another white space
         last = blank[:-1] & ~blank[1:] & ~first[1:-1]
         start[:-1] |= last
-        start[1:] &= ~(last & (c[:-1] == 32))
-        self.wide = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
+        start[1:] &= ~(last & (data[:-1] == 32))
         return np.flatnonzero(start)
 
-    def lookup(self, found: list[str]) -> np.ndarray:
+    def lookup(self, found: list[bytes]) -> np.ndarray:
         """The place of each pre-token's ids in the store, encoding those that are new."""
         if len(self.known) + len(found) > CACHE_ENTRIES or len(self.ids) > 8 * CACHE_ENTRIES:
             self.clear()
-        at = [self.known.get(t, -1) for t in found]
-        new = [i for i, x in enumerate(at) if x < 0]
-        if new:
-            e = self.library.encode([found[i] for i in new], is_pretokenized=True, add_special_tokens=False)
-            sizes = np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(new))
+        at = np.fromiter(map(self.known.get, found, repeat(-1)), dtype=np.int64, count=len(found))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            tokens = [found[i] for i in new.tolist()]
+            # words after a blank are encoded as one text, which splits into them again
+            plain = np.array([t[0] == 32 and len(t) > 1 and t[1] not in b"' \t\n\r\x0b\x0c" for t in tokens])
+            ids, sizes = [], np.zeros(len(tokens), dtype=np.int64)
+            for kind in (True, False):
+                own = np.flatnonzero(plain == kind)
+                if not len(own):
+                    continue
+                if kind:
+                    texts = [b"".join(tokens[i] for i in own[k : k + 256].tolist()).decode() for k in range(0, len(own), 256)]
+                    made = np.concatenate([e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)])
+                    word = np.cumsum(self.opens[made]) - 1
+                else:
+                    e = self.library.encode([tokens[i].decode() for i in own], is_pretokenized=True, add_special_tokens=False)
+                    made, word = np.array(e.ids), np.array(e.word_ids)
+                sizes[own] = np.bincount(word, minlength=len(own))
+                ids.append((own, made.astype(np.uint32)))
             base = len(self.sizes)
-            self.ids = np.concatenate((self.ids, np.array(e.ids, dtype=np.uint32)))
-            self.sizes = np.concatenate((self.sizes, sizes))
-            for k, i in enumerate(new):
-                at[i] = base + k
-                if len(found[i]) <= CACHE_BYTES:
-                    self.known[found[i]] = base + k
-        return np.array(at, dtype=np.int64)
+            order = np.concatenate([own for own, _ in ids])
+            at[new[order]] = base + np.arange(len(order))
+            self.ids = np.concatenate((self.ids, *(x for _, x in ids)))
+            self.sizes = np.concatenate((self.sizes, sizes[order]))
+            self.known.update((tokens[i], base + k) for k, i in enumerate(order.tolist()) if len(tokens[i]) <= CACHE_BYTES)
+        return at
 
     def encode(self, texts) -> list[np.ndarray]:
         """Ids of an Arrow array of texts without nulls."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        hard = np.asarray(pc.match_substring_regex(texts, CONTRACTIONS)).copy()
+        out: list = [np.zeros(0, dtype=np.uint32)] * len(texts)
+        if not len(texts):
+            return out
+        texts = texts.cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+        ends = offsets[1:] - offsets[0]
+        if not len(data):
+            return out
+        hard = np.asarray(pc.match_substring(texts, "'")).copy()
+        if hard.any():
+            hard = np.asarray(pc.match_substring_regex(texts, CONTRACTIONS)).copy()
         for s in self.special:
             hard |= np.asarray(pc.match_substring(texts, s))
+        kind = self.kinds(data)
+        wide = np.flatnonzero((kind == SPACE) & (data >= 0x80))
+        hard[np.searchsorted(ends, wide, side="right")] = True
         if not self.plain:
             hard[:] = True
-        out: list = [None] * len(texts)
-        if hard.any():
-            for i, x in zip(np.flatnonzero(hard), self.whole(texts.filter(pa.array(hard)).to_pylist()), strict=True):
-                out[i] = x
-        easy = np.flatnonzero(~hard)
-        if not len(easy):
-            return out
-        some = texts.take(pa.array(easy))
-        joined = "".join(some.to_pylist())
-        ends = np.cumsum(np.asarray(pc.utf8_length(some), dtype=np.int64))
-        if not joined:
-            for i in easy:
-                out[i] = np.zeros(0, dtype=np.uint32)
+        for i, x in zip(np.flatnonzero(hard), self.whole(texts.filter(pa.array(hard)).to_pylist()), strict=True):
+            out[i] = x
+        if hard.all():
             return out
-        begin = self.starts(joined, np.concatenate(([0], ends[:-1])))
-        byte_at = np.concatenate(([0], np.cumsum(self.wide)))
-        offsets = np.append(byte_at[begin], byte_at[-1]).astype(np.int64)
-        flat = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(joined.encode()))
+        begin = self.starts(data, kind, np.concatenate(([0], ends[:-1])))
+        cuts = np.append(begin, len(data)).astype(np.int32)
+        flat = pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+        if hard.any():  # their pre-tokens aren't the library's: leave them out
+            flat = flat.take(pa.array(np.flatnonzero(~hard[np.searchsorted(ends, begin, side="right")])))
+            begin = begin[~hard[np.searchsorted(ends, begin, side="right")]]
         flat = flat.dictionary_encode()
         place = self.lookup(flat.dictionary.to_pylist())[flat.indices.to_numpy()]
         sizes = self.sizes[place]
-        store = np.concatenate(([0], np.cumsum(self.sizes)))[place]
+        store = np.cumsum(self.sizes) - self.sizes
         upto = np.cumsum(sizes)
-        ids = self.ids[np.repeat(store - upto + sizes, sizes) + np.arange(upto[-1])]
+        shift = (store[place] - upto + sizes).astype(np.int32)
+        ids = self.ids[np.repeat(shift, sizes) + np.arange(upto[-1] if len(upto) else 0, dtype=np.int32)]
         # pre-tokens of a document are those that start before its end
-        cuts = np.concatenate(([0], upto))[np.searchsorted(begin, ends)]
-        for i, a, b in zip(easy, np.concatenate(([0], cuts[:-1])), cuts, strict=True):
-            out[i] = ids[a:b]
+        stops = np.concatenate(([0], upto))[np.searchsorted(begin, ends)]
+        starts = np.concatenate(([0], stops[:-1]))
+        for i in np.flatnonzero(~hard).tolist():
+            out[i] = ids[starts[i] : stops[i]]
         return out
 
 

@@ -33,6 +33,33 @@ HEAD = struct.Struct("<IHBH")
 PERCENTILE = 90
 
 
+def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of BLOCK values, the low ``width`` bits of each, as rows of little-endian bytes."""
+    rows = len(values)
+    lanes = np.ascontiguousarray((values.astype(np.uint64) & np.uint64((1 << width) - 1)).reshape(-1, 64).T)
+    out = np.zeros((width, lanes.shape[1]), dtype=np.uint64)
+    for j in range(64):
+        word, shift = divmod(j * width, 64)
+        out[word] |= lanes[j] << np.uint64(shift)
+        if shift + width > 64:
+            out[word + 1] |= lanes[j] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(out.T).astype("<u8").view(np.uint8).reshape(rows, -1)
+
+
+def unpack_bits(packed: np.ndarray, width: int) -> np.ndarray:
+    """The reverse of ``pack_bits``."""
+    rows, mask = len(packed), np.uint64((1 << width) - 1)
+    words = np.ascontiguousarray(packed.reshape(-1, 8 * width).view("<u8").T).astype(np.uint64)
+    out = np.empty((64, words.shape[1]), dtype=np.uint32)
+    for j in range(64):
+        word, shift = divmod(j * width, 64)
+        v = words[word] >> np.uint64(shift)
+        if shift + width > 64:
+            v = v | words[word + 1] << np.uint64(64 - shift)
+        out[j] = v & mask
+    return np.ascontiguousarray(out.T).reshape(rows, BLOCK)
+
+
 def pack_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> list[bytes]:
     """The blocks of up to GROUP * BLOCK ids; only the last may be short."""
     n, out = len(ids), []
@@ -43,37 +70,47 @@ def pack_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> list[bytes]:
     v = padded.reshape(rows, BLOCK)
     least = v.min(axis=1)
     diff = v - least[:, None]
-    bits = np.frexp(diff.astype(np.float64))[1].astype(np.uint8)
-    widths = np.partition(bits, (BLOCK * percentile - 1) // 100, axis=1)[:, (BLOCK * percentile - 1) // 100]
-    packed: list[bytes] = [b""] * rows
-    for w in np.unique(widths):
+    place = (BLOCK * percentile - 1) // 100
+    widths = np.frexp(np.partition(diff, place, axis=1)[:, place].astype(np.float64))[1]
+    packed: list = [b""] * rows
+    for w in np.unique(widths[widths > 0]).tolist():
         at = np.flatnonzero(widths == w)
-        lanes = ((diff[at][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
-        for i, p in zip(at, np.packbits(lanes.reshape(len(at), -1), axis=1, bitorder="little"), strict=True):
-            packed[i] = p.tobytes()
-    wide = bits > widths[:, None]
-    for i in range(rows):
+        for i, p in zip(at.tolist(), pack_bits(diff[at], w), strict=True):
+            packed[i] = p
+    row, column = np.nonzero(diff >= (np.uint64(1) << widths.astype(np.uint64))[:, None])
+    if n < len(padded):
+        own = row * BLOCK + column < n
+        row, column = row[own], column[own]
+    cuts = np.searchsorted(row, np.arange(rows + 1)).tolist()
+    places, values = column.astype("<u2"), diff[row, column].astype("<u4")
+    for i, (low, width, a, b) in enumerate(zip(least.tolist(), widths.tolist(), cuts[:-1], cuts[1:], strict=True)):
         count = min(BLOCK, n - i * BLOCK)
-        places = np.flatnonzero(wide[i, :count]).astype("<u2")
-        low = packed[i][: -(-count * int(widths[i]) // 8)]
-        head = HEAD.pack(int(least[i]), count, int(widths[i]), len(places))
-        out.append(head + low + places.tobytes() + diff[i, places].astype("<u4").tobytes())
+        body = bytes(packed[i][: -(-count * width // 8)])
+        out.append(HEAD.pack(low, count, width, b - a) + body + places[a:b].tobytes() + values[a:b].tobytes())
     return out
 
 
-def unpack_block(data: bytes | memoryview, start: int = 0) -> np.ndarray:
-    least, count, width, odd = HEAD.unpack_from(data, start)
-    at = start + HEAD.size
-    size = -(-count * width // 8)
-    if width:
-        lanes = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=count * width, bitorder="little")
-        diff = lanes.reshape(count, width).astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
-    else:
-        diff = np.zeros(count, dtype=np.uint32)
-    at += size
-    if odd:
-        diff[np.frombuffer(data, "<u2", odd, at)] = np.frombuffer(data, "<u4", odd, at + 2 * odd)
-    return diff + np.uint32(least)
+def unpack_blocks(data: bytes, starts: list[int]) -> np.ndarray:
+    """The ids of the blocks at these places, one after another."""
+    raw = np.frombuffer(data, np.uint8)
+    heads = [HEAD.unpack_from(data, s) for s in starts]
+    out = np.zeros((len(starts), BLOCK), dtype=np.uint32)
+    widths = np.array([h[2] for h in heads])
+    for w in np.unique(widths[widths > 0]).tolist():
+        at = np.flatnonzero(widths == w)
+        packed = np.zeros((len(at), BLOCK * w // 8), dtype=np.uint8)
+        for k, i in enumerate(at.tolist()):
+            size = -(-heads[i][1] * w // 8)
+            begin = starts[i] + HEAD.size
+            packed[k, :size] = raw[begin : begin + size]
+        out[at] = unpack_bits(packed, w)
+    for i, (_, count, width, odd) in enumerate(heads):
+        if odd:
+            at = starts[i] + HEAD.size - (-count * width // 8)
+            out[i, np.frombuffer(data, "<u2", odd, at)] = np.frombuffer(data, "<u4", odd, at + 2 * odd)
+    out += np.array([h[0] for h in heads], dtype=np.uint32)[:, None]
+    counts = [h[1] for h in heads]
+    return out.reshape(-1) if min(counts) == BLOCK else out[np.arange(BLOCK) < np.array(counts)[:, None]]
 
 
 class Writer:
@@ -147,8 +184,8 @@ class Reader:
         if stop <= start:
             return np.zeros(0, np.uint32)
         data = self._read(int(self.blocks[a]), int(self.blocks[b] - self.blocks[a]))
-        parts = [unpack_block(data, int(x - self.blocks[a])) for x in self.blocks[a:b]]
-        return np.concatenate(parts)[start - a * BLOCK : stop - a * BLOCK]
+        found = unpack_blocks(data, (self.blocks[a:b] - self.blocks[a]).tolist())
+        return found[start - a * BLOCK : stop - a * BLOCK]
 
     def documents(self, group: int = GROUP * BLOCK) -> Iterator[np.ndarray]:
         """The ids of every document in order, reading about ``group`` ids at a time."""
