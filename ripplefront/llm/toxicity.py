@@ -22,12 +22,12 @@ from .token_counts import slices
 #: Words a window, and words from one window's start to the next one's.
 WINDOW, STRIDE = 24, 12
 #: Learn from up to so many toxic and other documents, whole, none longer than this.
-SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_CHARS = 1500, 3000, 60_000
+SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_CHARS = 1000, 2000, 60_000
 VOCABULARY, LEAST_DOCS = 20_000, 3
 NGRAMS, BUCKETS, DIM, HIDDEN, ATTENTION = (3, 4, 5), 1 << 16, 6, 8, 8
 EPOCHS, BATCH = 12, 256
-#: Windows scored at once; bounds memory.
-CHUNK = 8192
+#: Windows scored, distinct words described and training documents counted at once; bounds memory.
+CHUNK, WORD_CHUNK, DOC_CHUNK = 8192, 1 << 15, 64
 
 
 def word_hashes(distinct) -> np.ndarray:
@@ -77,8 +77,12 @@ class Model:
 
     def inputs(self, distinct) -> np.ndarray:
         """The input vector of each distinct word."""
-        if not len(distinct):
-            return np.zeros((0, inputs_size()), np.float32)
+        out = np.empty((len(distinct), inputs_size()), np.float32)
+        for i in range(0, len(distinct), WORD_CHUNK):
+            out[i : i + WORD_CHUNK] = self._inputs(distinct.slice(i, WORD_CHUNK))
+        return out
+
+    def _inputs(self, distinct) -> np.ndarray:
         t, row = self.tables, self.known(word_hashes(distinct))
         grams, starts = ngram_table(distinct)
         odds, vectors = np.append(t["char_odds"], 0).astype(np.float32), np.vstack((t["char"], np.zeros((1, DIM), np.float32)))
@@ -127,16 +131,40 @@ def cut(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = starts[doc] + np.minimum(k * STRIDE, np.maximum(0, sizes[doc] - WINDOW))
     places = first[:, None] + np.arange(WINDOW)
     mask = (places < ends[doc][:, None]).astype(np.float32)
-    return np.minimum(places, ends[doc][:, None] - 1), mask, doc
+    return np.minimum(places, ends[doc][:, None] - 1).astype(np.int32), mask, doc
+
+
+def _odds(a: np.ndarray, b: np.ndarray, toxic: float, other: float) -> np.ndarray:
+    """Shrunk log-odds of features found in ``a`` toxic and ``b`` other documents."""
+    rate = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (other + 1))
+    return (np.clip(rate, -4, 4) * (a + b) / (a + b + 6)).astype(np.float32)
 
 
-def _odds(found: np.ndarray, y: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shrunk log-odds of a feature in toxic against other documents, and its documents."""
-    pairs = np.unique(doc * size + found)
-    f, toxic = pairs % size, y[pairs // size] > 0
-    a, b = np.bincount(f[toxic], minlength=size), np.bincount(f[~toxic], minlength=size)
-    rate = np.log((a + 0.5) / (y.sum() + 1)) - np.log((b + 0.5) / ((1 - y).sum() + 1))
-    return (np.clip(rate, -4, 4) * (a + b) / (a + b + 6)).astype(np.float32), a + b
+def _documents(found: np.ndarray, doc: np.ndarray, y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """In how many toxic and other documents each feature is found."""
+    pairs = np.unique(doc.astype(np.int64) * size + found)
+    feature, toxic = pairs % size, y[pairs // size] > 0
+    return np.bincount(feature[toxic], minlength=size), np.bincount(feature[~toxic], minlength=size)
+
+
+def _char_odds(texts: list[str], y: np.ndarray) -> np.ndarray:
+    """The log-odds of each n-gram bucket, counted a few documents at a time."""
+    counts = np.zeros((2, BUCKETS))
+    for i in range(0, len(texts), DOC_CHUNK):
+        ids, distinct, ends = words.numbered(texts[i : i + DOC_CHUNK])
+        if not len(distinct):
+            continue
+        grams, starts = ngram_table(distinct)
+        word_of = np.repeat(np.arange(len(distinct)), np.diff(np.append(starts, len(grams[0]))))
+        flat, owner = (np.concatenate(x) for x in zip(*((g[g >= 0], word_of[g >= 0]) for g in grams), strict=True))
+        order = np.argsort(owner, kind="stable")
+        flat, upto = flat[order], np.searchsorted(owner[order], np.arange(len(distinct) + 1))
+        pair = np.unique(np.searchsorted(ends, np.arange(len(ids)), side="right") * len(distinct) + ids)
+        w, d = pair % len(distinct), pair // len(distinct)
+        size = upto[w + 1] - upto[w]
+        at = np.repeat(upto[w] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        counts += _documents(flat[at], np.repeat(d, size), y[i : i + DOC_CHUNK], BUCKETS)
+    return _odds(*counts, y.sum(), (1 - y).sum())
 
 
 def train(rows: list[tuple[int, str]], rate: float, seed: int = 5) -> Model:
@@ -147,22 +175,12 @@ def train(rows: list[tuple[int, str]], rate: float, seed: int = 5) -> Model:
     windows, mask, doc = cut(ends)
     word_doc = np.searchsorted(ends, np.arange(len(ids)), side="right")
     hashes = word_hashes(distinct)
-    odds, df = _odds(ids, y, word_doc, max(1, len(distinct)))
+    a, b = _documents(ids, word_doc, y, max(1, len(distinct)))
+    odds, df = _odds(a, b, y.sum(), (1 - y).sum()), a + b
     usable = np.flatnonzero(df >= LEAST_DOCS)
     usable = usable[np.argsort(-df[usable], kind="stable")][:VOCABULARY]
     usable = usable[np.argsort(hashes[usable])]
-    grams, starts = ngram_table(distinct)
-    owner = np.repeat(np.arange(len(distinct)), np.diff(np.append(starts, len(grams[0]))))
-    # n-grams of a document: those of its distinct words
-    pair = np.unique(word_doc * max(1, len(distinct)) + ids)
-    by_word = np.argsort(owner[np.concatenate([np.flatnonzero(g >= 0) for g in grams])], kind="stable")
-    flat = np.concatenate([g[g >= 0] for g in grams])[by_word]
-    word_of = np.concatenate([owner[g >= 0] for g in grams])[by_word]
-    upto = np.searchsorted(word_of, np.arange(len(distinct) + 1))
-    w, d = pair % max(1, len(distinct)), pair // max(1, len(distinct))
-    size = upto[w + 1] - upto[w]
-    at = np.repeat(upto[w] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    char_odds, _ = _odds(flat[at], y, np.repeat(d, size), BUCKETS)
+    char_odds = _char_odds([t for _, t in rows], y)
     small = lambda *s: (0.1 * rng.standard_normal(s)).astype(np.float32)
     tables = {
         "word_odds": np.concatenate(([0], odds[usable])).astype(np.float32), "word": small(len(usable) + 1, DIM),
@@ -173,7 +191,9 @@ def train(rows: list[tuple[int, str]], rate: float, seed: int = 5) -> Model:
     model = Model(hashes[usable], tables, net, np.array([0.0, 1.0, 0.0]), rate)
     row = model.known(hashes)
     x = model.inputs(distinct)
-    scores = np.where(mask > 0, x[:, 0][ids[windows]] + x[:, 3 + DIM][ids[windows]], 0).max(axis=1)
+    odds = x[:, 0] + x[:, 3 + DIM]
+    scores = np.where(mask > 0, odds[ids][windows], 0).max(axis=1)
+    del x
     adam = gru.Adam()
     weight = np.where(y > 0, 1.0, y.sum() / max(1.0, (1 - y).sum())).astype(np.float32)
     first = np.searchsorted(doc, np.unique(doc))
