@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,7 +56,7 @@ def scan(spark: SparkSession, uri: str, extensions: set[str] | None = None, glob
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     df = reader.option("pathGlobFilter", glob or "*").load(uri)
-    root = F.regexp_replace(F.lit(uri.rstrip("/")), r"^\w+:/*", "/")
+    root = re.sub(r"^\w+:/*", "/", uri.rstrip("/"))
     inner = F.substring_index(F.regexp_replace("path", r"^\w+:/*", "/"), root, -1)
     parts = F.split(inner, "/")
     kept = ~F.exists(parts, lambda x: x.startswith(".") | x.isin(*SKIPPED))
