@@ -23,3 +23,13 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="ripplefront-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def kept_by(df: DataFrame, *keys: str) -> DataFrame:
+    """The frame, cut and cached in partitions of its keys.
+
+    A loop that joins it on these keys, round after round, then moves only the other side.
+    Cached parts that are lost are read again from the checkpoint. Unpersist it when done.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df).repartition(n, *keys).persist()

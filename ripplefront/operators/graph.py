@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoint import cut
+from ..checkpoint import cut, kept_by
 
 #: Kinds, labels and shapes by the prefix of a node's id.
 KINDS = {"method": "method", "http": "http_endpoint", "kafka": "kafka_topic", "db": "database_table", "redis": "redis_prefix"}
@@ -109,6 +109,7 @@ def _spread(edges: DataFrame, rounds: int) -> DataFrame:
     """The least id that reaches each node."""
     ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     label = cut(ids.select("id", F.col("id").alias("label")))
+    edges = kept_by(edges, "src")
     for _ in range(rounds):
         sent = edges.join(label, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "label")
         new = cut(label.unionByName(sent).groupBy("id").agg(F.min("label").alias("label")))
@@ -117,6 +118,7 @@ def _spread(edges: DataFrame, rounds: int) -> DataFrame:
         label = new
         if done:
             break
+    edges.unpersist()
     return label
 
 
@@ -124,6 +126,7 @@ def _back(inside: DataFrame, label: DataFrame, rounds: int) -> DataFrame:
     """The nodes that reach their own label's node: (id, component)."""
     found = cut(label.where("id = label").select("id", F.col("label").alias("component")))
     frontier = found
+    inside = kept_by(inside, "dst", "label")
     for _ in range(rounds):
         step = inside.join(frontier, (F.col("dst") == F.col("id")) & (F.col("label") == F.col("component")))
         new = step.select(F.col("src").alias("id"), "component").distinct().join(found, ["id", "component"], "left_anti")
@@ -131,6 +134,7 @@ def _back(inside: DataFrame, label: DataFrame, rounds: int) -> DataFrame:
         if frontier.isEmpty():
             break
         found = cut(found.unionByName(frontier))
+    inside.unpersist()
     return found
 
 

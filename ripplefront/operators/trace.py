@@ -4,8 +4,8 @@ The state of a method in a direction is its smallest depth. A call adds one; cro
 service starts again at zero, which may improve a state that is already known, so a state
 is expanded again whenever its depth gets smaller. A state at the limit is a leaf. The
 result doesn't depend on any order. Each round is two equi-joins of the frontier, which
-alone moves; it is written to the checkpoint folder, so a round survives lost executors and
-the plan doesn't grow.
+alone moves: the steps stay cached in partitions of its keys. It is written to the checkpoint
+folder, so a round survives lost executors and the plan doesn't grow.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..checkpoint import cut
+from ..checkpoint import cut, kept_by
 from . import cross, resolve
 from .facts import Facts
 
@@ -66,8 +66,8 @@ def reach(spark: SparkSession, seeds: DataFrame, s: Steps, config: TraceConfig,
         return start.select("fqn", F.lit("Up").alias("dir"), F.lit(0).alias("depth")).limit(0)
     best = cut(start.select("fqn", F.explode(F.array(*map(F.lit, dirs))).alias("dir"), F.lit(0).alias("depth")))
     moves = s.down.select("src", "dst", F.lit("Down").alias("dir")).unionByName(s.up.select("src", "dst", F.lit("Up").alias("dir")))
-    moves = cut(moves)
-    over = cut(s.over.select("src", "dst", F.col("dir").alias("to")).distinct()) if s.over is not None else None
+    moves = kept_by(moves, "src", "dir")
+    over = kept_by(s.over.select("src", "dst", F.col("dir").alias("to")).distinct(), "src") if s.over is not None else None
     frontier, rounds = best, 0
     while not frontier.isEmpty():
         if rounds == max_rounds:
@@ -83,6 +83,9 @@ def reach(spark: SparkSession, seeds: DataFrame, s: Steps, config: TraceConfig,
         better = least.join(old, ["fqn", "dir"], "left").where("old IS NULL OR depth < old").drop("old")
         frontier = cut(better)
         best = cut(best.unionByName(frontier).groupBy("fqn", "dir").agg(F.min("depth").alias("depth")))
+    moves.unpersist()
+    if over is not None:
+        over.unpersist()
     return best
 
 

@@ -488,6 +488,108 @@ def config_items(s, d):
     return tf.configured(s.createDataFrame(rows, "path string, content string"))[0]
 
 
+RUST = """use std::{io, fs};
+mod user {
+    pub fn create_user(id: u32) -> bool { println!("x {}", hidden(id)); check(id); sqlx::query("INSERT INTO users VALUES (1)") }
+}
+fn routes() { Router::new().route("/users/:id", get(show)); redis.get("user:*"); producer.send("user-events"); }
+"""
+
+
+@query("rs01_rust_calls", """SELECT * FROM (VALUES ('user::create_user', 3, 'println!'), ('user::create_user', 3, 'check'),
+('user::create_user', 3, 'sqlx::query'), ('routes', 5, 'Router::new'), ('routes', 5, 'Router::new().route'), ('routes', 5, 'get'),
+('routes', 5, 'redis.get'), ('routes', 5, 'producer.send')) t(fqn, line, callee)""")
+def rust_calls(s, d):
+    parsed = tf.parsed(s.createDataFrame([("/w/a.rs", RUST)], "path string, content string"))
+    return fx.exploded(parsed).select("fqn", F.explode("calls").alias("c")).select("fqn", "c.line", F.col("c.target").alias("callee"))
+
+
+@query("rs05_rust_operations", """SELECT * FROM (VALUES ('user::create_user', 'db', 'Insert', 'users'), ('routes', 'redis', 'Get', 'user:*'),
+('routes', 'kafka', 'Produce', 'user-events'), ('routes', 'http', 'GET', '/users/:id')) t(fqn, kind, op, name)""")
+def rust_operations(s, d):
+    parsed = tf.parsed(s.createDataFrame([("/w/a.rs", RUST)], "path string, content string"))
+    f = fx.from_parsed(parsed)
+    part = lambda df, kind, op, name: df.select("fqn", F.lit(kind).alias("kind"), F.col(op).alias("op"), F.col(name).alias("name"))
+    return (
+        part(f.db, "db", "op", "table").unionByName(part(f.redis, "redis", "op", "key_pattern"))
+        .unionByName(part(f.kafka, "kafka", "op", "topic")).unionByName(part(f.http, "http", "method", "path"))
+    )
+
+
+@query("rs10_imports", """SELECT * FROM (VALUES ('/w/a.rs', 'std', 'io,fs'), ('/w/Orders.java', 'com.acme.core.UserService', '')) t(file_path, module, items)""")
+def imports(s, d):
+    parsed = tf.parsed(s.createDataFrame([("/w/a.rs", RUST), ("/w/Orders.java", JAVA)], "path string, content string"))
+    each = parsed.select("file_path", F.explode("imports").alias("i"))
+    return each.select("file_path", "i.module", F.array_join("i.items", ",").alias("items"))
+
+
+@query("jv02_java_classes", """SELECT 'com.acme.shop.Orders' AS name, false AS is_interface, 'com.acme.shop.Api' AS iface, 3 AS line_start, 7 AS line_end""")
+def java_classes(s, d):
+    parsed = tf.parsed(s.createDataFrame([("/w/Orders.java", JAVA)], "path string, content string"))
+    c = parsed.select(F.explode("classes").alias("c"))
+    return c.select("c.name", "c.is_interface", F.array_join("c.implements", ",").alias("iface"), "c.line_start", "c.line_end")
+
+
+@query("p01_patch_lines", """SELECT * FROM (VALUES ('src/A.java', 0, 0, 'Context', 'a'), ('src/A.java', 0, 1, 'Removed', 'b'), ('src/A.java', 0, 2, 'Added', 'c'),
+('src/A.java', 0, 3, 'Added', 'd'), ('New.rs', 0, 0, 'Added', 'fn x() {}')) t(file_path, hunk_idx, pos, line_type, content)""")
+def patch_lines(s, d):
+    return tf.hunk_lines(tf.patches(s.createDataFrame([("x/p1.patch", PATCH)], "path string, content string"), prefix=False))
+
+
+@query("s03_language", """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'java' WHEN page_id % 3 = 1 THEN 'rust' END AS language FROM pages""")
+def languages(s, d):
+    ext = F.element_at(F.array(F.lit("/x.java"), F.lit("/y.z.rs"), F.lit("/java")), (F.col("page_id") % 3 + 1).cast("int"))
+    return s.read.parquet(f"{d}/pages.parquet").select("page_id", fn.language(F.concat(F.col("url"), ext)).alias("language"))
+
+
+@query("f09_colon_params", "SELECT page_id, string_agg(p, ',' ORDER BY p) AS params FROM (SELECT page_id, unnest(regexp_extract_all(url || '/:id/:item', ':(\\w+)', 1)) AS p FROM pages) x GROUP BY page_id")
+def colon_params(s, d):
+    from ..parsers import patterns as p
+
+    each = s.read.parquet(f"{d}/pages.parquet").select("page_id", fn.matches(F.concat("url", F.lit("/:id/:item")), p.COLON_PARAM).alias("p"))
+    return each.select("page_id", F.array_join(F.array_sort("p"), ",").alias("params"))
+
+
+@query("f11_path_matches", "SELECT page_id, contains(lower(url), lower(split_part(url, '/', 4))) AND contains(lower(url), 'example') AS hit FROM pages")
+def path_matches(s, d):
+    pattern = F.concat_ws("/", F.lit(""), F.upper(F.split_part("url", F.lit("/"), F.lit(4))), F.lit("{id}"), F.lit("EXAMPLE"))
+    return s.read.parquet(f"{d}/pages.parquet").select("page_id", fn.path_matches(pattern, F.col("url")).alias("hit"))
+
+
+@query("f20_overlaps", "SELECT l_returnflag AS flag, count(*) AS n FROM lineitem WHERE l_linenumber <= l_quantity AND l_linenumber + 3 >= l_quantity - 5 GROUP BY 1")
+def overlap_counts(s, d):
+    line, q = F.col("l_linenumber"), F.col("l_quantity")
+    hit = fn.overlaps(line, line + 3, q - 5, q)
+    return s.read.parquet(f"{d}/lineitem.parquet").where(hit).groupBy(F.col("l_returnflag").alias("flag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f21_same_major", "SELECT event_id, split_part(CAST(value AS STRING), '.', 1) = split_part(CAST(floor(value) AS STRING), '.', 1) AS same FROM events WHERE value BETWEEN 1 AND 100000")
+def same_major(s, d):
+    e = s.read.parquet(f"{d}/events.parquet").where("value BETWEEN 1 AND 100000")
+    return e.select("event_id", fn.same_major(F.col("value").cast("string"), F.floor("value").cast("string")).alias("same"))
+
+
+@query("g02_first_nodes", """SELECT DISTINCT 'kafka:' || event_type AS id, 'kafka_topic' AS kind, 'Kafka: ' || event_type AS label FROM events
+UNION SELECT DISTINCT 'redis:' || source, 'redis_prefix', 'Redis: ' || source FROM documents
+UNION SELECT DISTINCT 'db:' || o_orderpriority, 'database_table', 'Table: ' || o_orderpriority FROM orders
+UNION SELECT 'http:GET:/' || CAST(page_id AS STRING), 'http_endpoint', 'GET /' || CAST(page_id AS STRING) FROM pages""")
+def first_nodes(s, d):
+    ids = _sql(s, d, """SELECT 'kafka:' || event_type AS id FROM events UNION ALL SELECT 'redis:' || source FROM documents
+        UNION ALL SELECT 'db:' || o_orderpriority FROM orders UNION ALL SELECT 'http:GET:/' || CAST(page_id AS STRING) FROM pages""",
+        "events", "documents", "orders", "pages")
+    return graph.nodes_of(ids).select("id", "kind", "label")
+
+
+@query("g08_dot_edges", f"""{_CALL_EDGES} SELECT '    "' || src || '" -> "' || dst || '" [ label="method_call" dir="' || lower(direction) || '" ]' AS line FROM e""")
+def dot_edges(s, d):
+    return graph.dot_edges(_traced(s, d)[1]).select("line")
+
+
+@query("g07_json_nodes", f"""{_CALL_EDGES} SELECT id, '{{"id":"' || id || '","type":{{"kind":"method","qualified_name":"' || substr(id, 8) || '"}},"label":"' || substr(id, 8) || '","properties":{{}}}}' AS json FROM n""")
+def json_nodes(s, d):
+    return graph.json_nodes(_traced(s, d)[0])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges of everything impacted across services by customers whose balance is largest."""
     text = "SELECT 'c' || CAST(c_custkey AS STRING) || '::order' AS fqn FROM customer WHERE c_acctbal > 9900"
