@@ -10,7 +10,7 @@ from itertools import repeat
 import numpy as np
 
 #: Most pre-tokens whose ids a Python worker keeps; beyond it they are forgotten and refilled.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 #: Longer pre-tokens are encoded but not kept.
 CACHE_BYTES = 64
 

@@ -111,7 +111,7 @@ def range_bucket(df: DataFrame, key: str, n: int, segments: int = 64) -> tuple[C
         m = (a + b) // 2
         return F.when(c < F.lit(lows[m]), pick(a, m)).otherwise(pick(m, b))
 
-    return F.coalesce(pick(0, len(lows)), F.lit(0)).cast("int"), len(lows) * parts
+    return F.when(c.isNull(), 0).otherwise(pick(0, len(lows))).cast("int"), len(lows) * parts
 
 
 def open_uri(uri: str):
@@ -139,3 +139,85 @@ def lookup(rows: DataFrame, found: DataFrame, key: str, shares: int = 1000) -> D
     usual = rows.join(F.broadcast(hot), key, "left_anti").join(found, key, "left")
     heavy = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(entries), key, "left")
     return usual.unionByName(heavy)
+
+
+def packed(df: DataFrame, columns: list[str], *more: Column) -> DataFrame:
+    """The columns as one struct ``row``, safe from clashes of names, and further columns."""
+    inner = [df[f"`{c}`"] for c in columns] or [F.lit(0).alias("_")]
+    return df.select(F.struct(*inner).alias("row"), *more)
+
+
+def unpacked(df: DataFrame, columns: list[str], *made: str) -> DataFrame:
+    return df.select(*[F.col("row").getField(c).alias(c) for c in columns], *made)
+
+
+class Carried:
+    """Rows on their way through a Python function that adds columns made from a text.
+
+    ``keep`` are the columns to give back (default: all); those named like an added one,
+    in any case of letters, are replaced. The text travels once.
+    """
+
+    def __init__(self, df: DataFrame, text: str, made: str, keep: list[str] | None = None):
+        self.made = [x.split()[0] for x in made.split(", ")]
+        taken = {m.lower() for m in self.made}
+        self.keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
+        self.place = self.keep.index(text) if text in self.keep else None
+        more = [] if self.place is not None else [df[f"`{text}`"].cast("string").alias("text")]
+        self.source = packed(df, self.keep, *more)
+        self.ddl = made
+
+    def texts(self, batch):
+        """The batch's texts, null ones as empty ones."""
+        import pyarrow.compute as pc
+
+        column = batch.column("text") if self.place is None else batch.column("row").flatten()[self.place]
+        return pc.fill_null(column, "")
+
+    def through(self, function, max_bytes: int = 1 << 20) -> DataFrame:
+        """``function`` gets an Arrow array of texts and returns an Arrow array for each added column."""
+        import pyarrow as pa
+        from pyspark.sql.types import StructType
+
+        schema = StructType([self.source.schema["row"], *StructType.fromDDL(self.ddl).fields])
+        names = ["row", *self.made]
+
+        def run(batches):
+            for b in slices(batches, self.texts, max_bytes):
+                yield pa.RecordBatch.from_arrays([b.column("row"), *function(self.texts(b))], names=names)
+
+        holder = self.source
+        del self.source  # a frame can't travel with the function
+        return unpacked(holder.mapInArrow(run, schema), self.keep, *self.made)
+
+
+def give_back() -> None:
+    """Return freed memory of a Python worker, which lives on for later tasks, to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def slices(batches, column, max_bytes: int = 1 << 20):
+    """The batches, cut so that a column's texts take at most ``max_bytes``, or one row.
+
+    ``column`` is a name, or a function of a batch.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    get = column if callable(column) else lambda b: b.column(column)
+    for b in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(get(b)), 0), dtype=np.int64))
+        start = 0
+        while start < b.num_rows:
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
+            yield b.slice(start, stop - start)
+            start = stop
+    give_back()

@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, words
-from .token_counts import slices
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -226,7 +225,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
         def run(batches, shared=shared):
             items = Items(shared.value, radius)
-            for b in slices(batches, "text"):
+            for b in common.slices(batches, "text"):
                 ids, found = b.column("doc_id").to_pylist(), []
                 codes, ends = word_codes(b.column("text").to_pylist())
                 for k in items.suspects(codes, ends).tolist():

@@ -77,22 +77,17 @@ def fingerprints(df: DataFrame, text: str, chars: int = 32) -> DataFrame:
     Nulls fingerprint as empty texts. An empty table gives an empty table. A column of
     ``df`` named fingerprint is replaced.
     """
-    df = df.drop("fingerprint")
-    made = df.withColumn("_d", digest(canonical(F.col(text)), chars))
-    keys = common.stored(shared(made.select(F.col("_d").alias("digest"))), "shared-digests")
-    members = among(
-        made.select(F.col("_d").alias("digest"), canonical(F.col(text)).alias("canon")), keys, "digest", keys.count()
-    )
+    cols = [c for c in df.columns if c.lower() != "fingerprint"]
+    canon = canonical(df[f"`{text}`"])
+    made = common.packed(df, cols, canon.alias("canon")).withColumn("digest", digest(F.col("canon"), chars))
+    keys = common.stored(shared(made.select("digest")), "shared-digests")
+    members = among(made.select("digest", "canon"), keys, "digest", keys.count())
     clash = common.stored(collisions(members), "digest-collisions")
     if clash.isEmpty():
-        return made.withColumnRenamed("_d", "fingerprint")
-    key = clash.select(F.col("digest").alias("_d"), F.sha2("canon", 256).alias("_s"), F.col("ordinal").alias("_o"))
-    return (
-        made.withColumn("_s", F.sha2(canonical(F.col(text)), 256))
-        .join(key, ["_d", "_s"], "left")
-        .withColumn("fingerprint", with_ordinal(F.col("_d"), F.col("_o")))
-        .drop("_d", "_s", "_o")
-    )
+        return common.unpacked(made.withColumnRenamed("digest", "fingerprint"), cols, "fingerprint")
+    key = clash.select("digest", F.sha2("canon", 256).alias("sha"), "ordinal")
+    found = made.withColumn("sha", F.sha2("canon", 256)).join(key, ["digest", "sha"], "left")
+    return common.unpacked(found.withColumn("fingerprint", with_ordinal(F.col("digest"), F.col("ordinal"))), cols, "fingerprint")
 
 
 def successors(docs: DataFrame) -> DataFrame:

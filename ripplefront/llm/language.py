@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .token_counts import slices
 
 #: Trigrams fall into so many buckets; a power of two that 16 bits hold.
 BUCKETS = 1 << 16
@@ -169,25 +168,18 @@ def fit(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int
     return Model.fitted(kept)
 
 
-def identify(df: DataFrame, text: str, model: Model) -> DataFrame:
+def identify(df: DataFrame, text: str, model: Model, keep: list[str] | None = None) -> DataFrame:
     """``df`` with lang_pred, score (the language's proportion) and langs (all found).
 
     Null texts and texts without a letter: ``und``, score 0. Every row stays, whole texts
-    are read, columns of these names are replaced.
+    are read, columns of these names are replaced; ``keep`` picks the columns to give back.
     """
     import pyarrow as pa
 
-    made = ["lang_pred", "score", "langs"]
-    others = [c for c in df.columns if c not in made]
     shared = df.sparkSession.sparkContext.broadcast((model.langs, model.table))
-    source = df.select(*others, common.text_or_empty(F.col(text)).alias("_text"))
-    schema = df.select(*others).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).withColumn("langs", F.lit(""))
 
-    def run(batches):
-        m = Model(*shared.value)
-        for b in slices(batches, "_text"):
-            found = m.predict(b.column("_text").to_pylist())
-            cols = [pa.array([f[i] for f in found], k) for i, k in enumerate((pa.string(), pa.float64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), *cols], names=[*others, *made])
+    def made(texts):
+        found = Model(*shared.value).predict(texts.to_pylist())
+        return [pa.array([f[i] for f in found], k) for i, k in enumerate((pa.string(), pa.float64(), pa.string()))]
 
-    return source.mapInArrow(run, schema.schema)
+    return common.Carried(df, text, "lang_pred string, score double, langs string", keep).through(made)

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from . import common
 from .cuckoo import CuckooFilter, Full
-from .token_counts import slices
 
 #: Filters of more bytes than this in total aren't read into workers; all keys are joined.
 FILTER_BYTES = 64 << 20
@@ -71,7 +70,7 @@ class LineStore:
         source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty(F.col("text")).cast("binary").alias("text"))
 
         def run(batches):
-            for b in slices(batches, "text"):
+            for b in common.slices(batches, "text"):
                 found, counts = [], []
                 for t in b.column("text").to_pylist():
                     keys = {k for k in line_keys(t, least)[1] if k}
@@ -182,7 +181,7 @@ class LineStore:
             for s, (name, _) in filters.items() if use else ():
                 with fs.open_input_stream(f"{root}/{name}") as f:
                     loaded[s] = CuckooFilter.from_bytes(f.read())
-            for b in slices(batches, "text"):
+            for b in common.slices(batches, "text"):
                 found, counts = [], []
                 for t in b.column("text").to_pylist():
                     keys = {k for k in line_keys(t, least)[1] if k}
@@ -228,14 +227,15 @@ class LineStore:
             F.col("doc_id").alias("_id"), F.col("text_key").alias("_t"),
             F.col("keys.hi").alias("_hi"), F.col("keys.lo").alias("_lo"),
         )
-        others = ["doc_id"] if report else [c for c in docs.columns if c != "text"]
-        source = docs.select(*others, common.text_or_empty(F.col("text")).cast("binary").alias("_text"), F.xxhash64("text").alias("_k"))
-        joined = source.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_t")), "left")
-        joined = joined.select(*others, "_text", "_hi", "_lo")
+        cols = ["doc_id"] if report else [c for c in docs.columns if c != "text"]
+        text = common.text_or_empty(F.col("text"))
+        source = common.packed(docs, cols, F.col("doc_id").cast("long").alias("_d"), text.cast("binary").alias("_text"), F.xxhash64("text").alias("_k"))
+        same = F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_t"))
+        joined = source.join(lost, same, "left").select("row", "_text", "_hi", "_lo")
         least = self.least_chars
 
         def run(batches):
-            for b in slices(batches, "_text"):
+            for b in common.slices(batches, "_text"):
                 texts, made = [], []
                 for t, hi, lo in zip(*(b.column(c).to_pylist() for c in ("_text", "_hi", "_lo")), strict=True):
                     n, gone = t.count(b"\n") + 1, 0
@@ -247,18 +247,14 @@ class LineStore:
                         gone = n - len(kept)
                         t = b"\n".join(kept)
                     texts.append(t)
-                    made.append((n, gone, hashlib.sha256(t).hexdigest() if report else ""))
-                cols = [b.column(c) for c in others]
-                if report:
-                    yield pa.RecordBatch.from_arrays(
-                        [*cols, *map(pa.array, zip(*made, strict=True))], names=[*others, "n_lines", "n_dropped", "kept_sha256"]
-                    )
-                else:
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.binary()).cast(pa.string())], names=[*others, "text"])
-
-        schema = source.select(*others)
-        if report:
-            for c, kind in (("n_lines", "long"), ("n_dropped", "long"), ("kept_sha256", "string")):
-                schema = schema.withColumn(c, F.lit(None).cast(kind))
-            return joined.mapInArrow(run, schema.schema)
-        return joined.mapInArrow(run, schema.withColumn("text", F.lit(None).cast("string")).schema).select(*docs.columns)
+                    made.append((n, gone, hashlib.sha256(t).hexdigest()) if report else ())
+                added = map(pa.array, zip(*made, strict=True)) if report else [pa.array(texts, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays([b.column("row"), *added], names=["row", *names])
+
+        from pyspark.sql.types import StructType
+
+        ddl = "n_lines long, n_dropped long, kept_sha256 string" if report else "text string"
+        names = [x.split()[0] for x in ddl.split(", ")]
+        schema = StructType([source.schema["row"], *StructType.fromDDL(ddl).fields])
+        out = common.unpacked(joined.mapInArrow(run, schema), cols, *names)
+        return out if report else out.select(*docs.columns)

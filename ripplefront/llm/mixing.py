@@ -110,20 +110,29 @@ def mixed(documents: DataFrame, seed: int = 7) -> DataFrame:
     Rows that share id, source and size share what these are taken, in text order.
     """
     cols = documents.columns
-    rows = documents.withColumn("_size", word_count(F.col("text")))
-    taken = copies(rows.select("doc_id", "source", F.col("_size").alias("size")), seed)
-    taken = taken.groupBy("doc_id", "source", "size").agg(
-        F.sum("copies").alias("_taken"), F.count(F.lit(1)).alias("_rows")
+    rows = common.packed(
+        documents, cols, F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.col("text")
     )
-    taken = taken.where("_taken > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_z"), "_taken", "_rows"
+    taken = copies(rows.select("doc_id", "source", "size"), seed)
+    taken = taken.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("taken"), F.count(F.lit(1)).alias("alike"))
+    taken = taken.where("taken > 0").select(
+        F.col("doc_id").alias("id"), F.col("source").alias("origin"), F.col("size").alias("words"), "taken", "alike"
     )
+    taken = common.stored(taken, "mix-taken")
     same = (
-        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-        & (F.col("_size") == F.col("_z"))
-    )
-    w = Window.partitionBy("_id", "_source", "_z").orderBy("text")
-    k = F.when(F.col("_rows") == 1, F.lit(1)).otherwise(F.row_number().over(w))
-    each = F.floor(F.col("_taken") / F.col("_rows")) + (F.col("_k") <= F.col("_taken") % F.col("_rows")).cast("int")
-    joined = rows.join(taken, same).withColumn("_k", k).withColumn("_each", each.cast("int")).where("_each > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(*cols)
+        F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("origin")) & (F.col("size") == F.col("words"))
+    )
+    # only rows that share id, source and size have to be told apart
+    w = Window.partitionBy("id", "origin", "words").orderBy("text")
+    found = rows.join(taken.where("alike = 1"), same).select("row", F.col("taken").alias("each"))
+    if not taken.where("alike > 1").isEmpty():
+        found = found.unionByName(_several(rows.join(taken.where("alike > 1"), same), w))
+    copy = F.explode(F.sequence(F.lit(1), F.col("each").cast("int")))
+    return common.unpacked(found.select("row", copy.alias("copy")), cols)
+
+
+def _several(joined: DataFrame, w) -> DataFrame:
+    """Rows that share id, source and size, each with its part of what they are taken."""
+    ranked = joined.withColumn("k", F.row_number().over(w))
+    part = F.floor(F.col("taken") / F.col("alike")) + (F.col("k") <= F.col("taken") % F.col("alike")).cast("int")
+    return ranked.select("row", part.alias("each")).where("each > 0")

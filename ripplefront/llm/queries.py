@@ -57,14 +57,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
     rows = docs.select("doc_id", common.held_out("doc_id").alias("held_out"), "text")
-    return toxicity.scored(rows, "text", model).drop("text")
+    return toxicity.scored(rows, "text", model, ["doc_id", "held_out"])
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = language.fit(docs)
     rows = docs.select("doc_id", common.held_out("doc_id").alias("held_out"), "text")
-    return language.identify(rows, "text", model).drop("text")
+    return language.identify(rows, "text", model, ["doc_id", "held_out"])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .token_counts import slices
 
 #: Shingle hashes whose bits are counted at once; bounds the memory of very long texts.
 CHUNK = 1 << 15
@@ -69,17 +68,11 @@ def fingerprinted(df: DataFrame, text: str, words: int = 4, seed: int = 42) -> D
     """``df`` without the text, with its 64-bit fingerprint in ``fp`` (a signed long)."""
     import pyarrow as pa
 
-    others = [c for c in df.columns if c not in (text, "fp")]
-    source = df.select(*others, common.text_or_empty(F.col(text)).cast("binary").alias("_text"))
+    def made(texts):
+        fps = [simhash(t, words, seed) for t in texts.cast(pa.large_binary()).to_pylist()]
+        return (pa.array(np.array(fps, dtype=np.uint64).view(np.int64)),)
 
-    def run(batches):
-        for b in slices(batches, "_text"):
-            fps = np.array([simhash(t, words, seed) for t in b.column("_text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in others), pa.array(fps.view(np.int64))], names=[*others, "fp"]
-            )
-
-    return source.mapInArrow(run, source.drop("_text").withColumn("fp", F.lit(0).cast("long")).schema)
+    return common.Carried(df, text, "fp long", [c for c in df.columns if c != text]).through(made)
 
 
 def postings(fps: DataFrame, shared_bytes: int) -> DataFrame:

@@ -9,11 +9,8 @@ larger than the texts, and to shuffle it costs more than to count a pre-token on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common
 
@@ -96,43 +93,17 @@ def counter(model_path: str) -> PieceCounter:
     return _models[model_path]
 
 
-def slices(batches: Iterator, column: str, max_bytes: int = 8 << 20) -> Iterator:
-    """The batches, cut so that the column's texts take at most ``max_bytes``, or one row."""
-    for b in batches:
-        ends = np.cumsum(_sizes(b.column(column)))
-        start = 0
-        while start < b.num_rows:
-            base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
-            yield b.slice(start, stop - start)
-            start = stop
-
-
-def _sizes(column) -> np.ndarray:
-    import pyarrow.compute as pc
-
-    return np.asarray(pc.fill_null(pc.binary_length(column), 0))
-
-
-def token_counts(df: DataFrame, text: str, model_path: str) -> DataFrame:
+def token_counts(df: DataFrame, text: str, model_path: str, keep: list[str] | None = None) -> DataFrame:
     """``df`` without the text, with n_bytes (UTF-8) and n_tokens.
 
     Null texts count as empty: no bytes, no tokens. Columns named n_bytes or n_tokens are
-    replaced. Rows are kept one for one, repeated ones too; an empty table stays empty.
+    replaced; ``keep`` picks the columns to give back. Rows are kept one for one, repeated
+    ones too; an empty table stays empty.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    others = [c for c in df.columns if c not in (text, "n_bytes", "n_tokens")]
-    source = df.select(*others, common.text_or_empty(F.col(text)).alias("_text"))
-    schema = source.drop("_text").withColumn("n_bytes", F.lit(0).cast("long")).withColumn("n_tokens", F.lit(0).cast("long")).schema
-
-    def run(batches):
-        c = counter(model_path)
-        for b in slices(batches, "_text"):
-            texts = b.column("_text")
-            cols = [b.column(x) for x in others]
-            sizes = pc.binary_length(texts).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([*cols, sizes, pa.array(c.count(texts))], names=[*others, "n_bytes", "n_tokens"])
-
-    return source.mapInArrow(run, schema)
+    rows = common.Carried(df, text, "n_bytes long, n_tokens long", keep or [c for c in df.columns if c != text])
+    return rows.through(
+        lambda texts: (pc.binary_length(texts).cast(pa.int64()), pa.array(counter(model_path).count(texts))), 4 << 20
+    )

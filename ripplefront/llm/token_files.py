@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, common
-from .token_counts import slices
 
 MAGIC = b"TFOR0001"
 BLOCK = 512
@@ -222,7 +221,7 @@ def write_token_files(
     def encode(batches):
         e = bpe.encoder(tokenizer)
         kind = "<u2" if e.vocabulary <= 1 << 16 and end_id < 1 << 16 else "<u4"
-        for b in slices(batches, "_text", 4 << 20):
+        for b in common.slices(batches, "_text", 2 << 20):
             ids = [np.append(x, np.uint32(end_id)).astype(kind).tobytes() for x in e.encode(b.column("_text"))]
             width = pa.array(np.full(b.num_rows, int(kind[2]), dtype=np.int32))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("shard"), width, pa.array(ids, pa.binary())], names=["doc_id", "shard", "width", "ids"])

@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, gru, words
-from .token_counts import slices
 
 #: Words a window, and words from one window's start to the next one's.
 WINDOW, STRIDE = 24, 12
@@ -282,24 +281,20 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
     return train(rows, rate) if len({t for t, _ in rows}) == 2 else None
 
 
-def scored(df: DataFrame, text: str, model: Model | None) -> DataFrame:
+def scored(df: DataFrame, text: str, model: Model | None, keep: list[str] | None = None) -> DataFrame:
     """``df`` with score (0 to 1) and predicted (1 if at least 0.5).
 
     Every window of every whole text is scored. Null texts are empty ones. Without a model
-    scores are 0. Every row stays; columns of these names are replaced.
+    scores are 0. Every row stays; columns of these names are replaced; ``keep`` picks the
+    columns to give back.
     """
     import pyarrow as pa
 
-    others = [c for c in df.columns if c not in ("score", "predicted")]
     shared = df.sparkSession.sparkContext.broadcast(model)
-    source = df.select(*others, common.text_or_empty(F.col(text)).alias("_text"))
-    schema = df.select(*others).withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
 
-    def run(batches):
+    def made(texts):
         m = shared.value
-        for b in slices(batches, "_text", 4 << 20):
-            s = m.score(b.column("_text").to_pylist()) if m else np.zeros(b.num_rows)
-            cols = [pa.array(s.astype(np.float64)), pa.array((s >= 0.5).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), *cols], names=[*others, "score", "predicted"])
+        s = m.score(texts.to_pylist()) if m else np.zeros(len(texts))
+        return pa.array(s.astype(np.float64)), pa.array((s >= 0.5).astype(np.int32))
 
-    return source.mapInArrow(run, schema)
+    return common.Carried(df, text, "score double, predicted int", keep).through(made, 2 << 20)

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .token_counts import slices
 
 #: Fixed values of the WARC format, version 1.1.
 VERSION = "WARC/1.1"
@@ -103,7 +102,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST_REVISIT_BYTES, level
         name, out, at = f"pages-{uuid.uuid4().hex}.warc.gz", None, 0
         for b in batches:
             rows = []
-            for part in slices(iter([b]), "html"):
+            for part in common.slices([b], "html"):
                 for page_id, url, digest, refers_to, payload in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     if out is None:
                         fs.create_dir(root, recursive=True)
