@@ -27,31 +27,37 @@ END_ID = 2
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a main language. Null and letterless texts are rejected."""
-    cols = docs.columns
-    rows = docs.select(F.struct(*cols).alias("row"))
-    found = language.identify(rows, "row.text", language.fit(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MAIN_LANGUAGE)).select("row.*")
+    # under names that can't clash with what the operator adds, so that every column passes through
+    safe = {c: f"column_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[docs[f"`{c}`"].alias(x) for c, x in safe.items()])
+    found = language.identify(rows, safe["text"], language.fit(docs))
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MAIN_LANGUAGE))
+    return kept.select(*[F.col(x).alias(c) for c, x in safe.items()])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component: the smallest id's, the first text of rows that share it."""
-    kept = simhash.near_duplicates(docs, "doc_id", "text").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = kept.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.lit(1)).alias("_one"))
-    least = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    repeated = common.stored(least.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "repeated-ids")
-    if repeated.isEmpty():
-        return least
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
     cols = docs.columns
-    first = least.join(repeated, same, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*cols), F.coalesce("text", F.lit(""))).alias("r"))
-    return least.join(repeated, same, "left_anti").unionByName(first.select("r.*"))
+    found = simhash.near_duplicates(docs, "doc_id", "text")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = common.stored(kept.groupBy("doc_id").count().withColumnRenamed("doc_id", "id"), "kept-ids")
+    rows = common.packed(docs, cols, F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    out = rows.join(ids.where("count = 1"), same, "left_semi").select("row")
+    if ids.where("count > 1").isEmpty():  # as a rule: ids should be unique
+        return common.unpacked(out, cols)
+    repeated = rows.join(ids.where("count > 1"), same, "left_semi")
+    first = repeated.groupBy("doc_id").agg(F.min_by("row", "text").alias("row")).select("row")
+    return common.unpacked(out.unionByName(first), cols)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
+    cols = docs.columns
     found = decontaminate.leaks(docs, common.table(spark, sf_dir, "benchmark"))
-    ids = common.stored(found.select(F.col("doc_id").alias("_id")).distinct(), "leaks")
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    ids = common.stored(found.select(F.col("doc_id").alias("id")).distinct(), "leaks")
+    rows = common.packed(docs, cols, F.col("doc_id"))
+    return common.unpacked(rows.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti"), cols)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
