@@ -12,22 +12,40 @@ from .facts import Facts
 SCHEMA = ["config_key", "fqn"]
 
 
-def segments(config_http: DataFrame) -> DataFrame:
-    """(http_method, value, segment, n): the named segments of each endpoint's path."""
-    named = F.filter(F.split("value", "/"), lambda s: (s != "") & ~(s.startswith("{") & s.endswith("}")))
-    return config_http.select("http_method", "value", named.alias("named"))
+#: Characters of a path's longest segment by which targets are looked up.
+PROBE = 3
+
+
+def _probed(endpoints: DataFrame) -> DataFrame:
+    """Endpoints with ``probe``: the start of their longest named segment, null if that is short."""
+    named = F.filter(F.split(F.lower("path"), "/"), lambda s: (s != "") & ~(s.startswith("{") & s.endswith("}")))
+    longest = F.array_max(F.transform(named, lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))
+    return endpoints.withColumn("_l", longest).select(
+        "method", "path", F.when(F.col("_l.n") >= PROBE, F.substring(F.col("_l.s"), 1, PROBE)).alias("probe")
+    )
+
+
+def _grams(targets: DataFrame) -> DataFrame:
+    """(callee, probe): each target with every run of PROBE characters in it, in lower case."""
+    low, last = F.lower("callee"), F.length("callee") - (PROBE - 1)
+    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(low, i, F.lit(PROBE)))
+    return targets.where(last >= 1).select("callee", F.explode(F.array_distinct(runs)).alias("probe"))
 
 
 def http_consumers(config_items: DataFrame, calls: DataFrame) -> DataFrame:
     """(method, path, fqn): methods with a client call whose target holds every path segment.
 
-    Only client calls are compared. They are rare among calls, and their distinct targets
-    rarer still, so the containment test runs on distinct targets against the endpoints.
+    Distinct targets of client calls meet an endpoint on the first characters of its longest
+    segment, which they must hold; the whole test follows. Endpoints whose segments are all
+    shorter than that, a handful if any, are compared with every such target.
     """
     endpoints = config_items.where("kind = 'http'").select(F.col("http_method").alias("method"), F.col("value").alias("path")).distinct()
     clients = calls.where(fn.is_http_client(F.col("callee")))
     targets = clients.select("callee").distinct()
-    hit = targets.join(endpoints, fn.path_matches(F.col("path"), F.col("callee")))
+    probed, holds = _probed(endpoints), fn.path_matches(F.col("path"), F.col("callee"))
+    hit = _grams(targets).join(probed.where("probe IS NOT NULL"), "probe").where(holds).select("method", "path", "callee")
+    short = targets.join(probed.where("probe IS NULL"), holds).select("method", "path", "callee")
+    hit = hit.unionByName(short).distinct()
     return clients.join(hit, "callee").select("method", "path", F.col("caller").alias("fqn")).distinct()
 
 

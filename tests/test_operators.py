@@ -230,6 +230,23 @@ def test_associations(spark):
     ]
 
 
+@pytest.mark.parametrize(
+    "path, target, hit",
+    [
+        ("/api/Users/{id}", "webclient.get(/API/users/1)", True),
+        ("/api/users", "WebClient.get(/users/api)", True),
+        ("/api/users", "webclient.get(/api/user)", False),
+        ("/{a}/{b}", "hyper", True),
+        ("/v1/ab", "reqwest /ab/v1", True),
+        ("/v1/ab", "reqwest /ab/v2", False),
+        ("/api", "api", False),
+    ],
+)
+def test_path_containment(spark, path, target, hit):
+    f = build(spark, calls=[("m", target)], config=[("f", "http", "GET", path)])
+    assert (associate.http_consumers(f.config_items, f.calls).count() == 1) == hit
+
+
 def test_wildcards_both_ways(spark):
     f = build(spark, redis=[("a", "Get", "user:*")], config=[("f", "redis", None, "user:123"), ("f", "redis", None, "order:1")])
     assert pairs_of(associate.keys(f.config_items, f.redis)) == [("redis:key:user:123", "a")]
