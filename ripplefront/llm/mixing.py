@@ -124,7 +124,7 @@ def mixed(documents: DataFrame, seed: int = 7) -> DataFrame:
     )
     # only rows that share id, source and size have to be told apart
     w = Window.partitionBy("id", "origin", "words").orderBy("text")
-    found = rows.join(taken.where("alike = 1"), same).select("row", F.col("taken").alias("each"))
+    found = rows.join(taken.where("alike = 1").hint("merge"), same).select("row", F.col("taken").alias("each"))
     if not taken.where("alike > 1").isEmpty():
         found = found.unionByName(_several(rows.join(taken.where("alike > 1"), same), w))
     copy = F.explode(F.sequence(F.lit(1), F.col("each").cast("int")))
