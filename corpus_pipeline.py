@@ -43,7 +43,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ids = common.stored(kept.groupBy("doc_id").count().withColumnRenamed("doc_id", "id"), "kept-ids")
     rows = common.packed(docs, cols, F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     same = F.col("doc_id").eqNullSafe(F.col("id"))
-    out = rows.join(ids.where("count = 1"), same, "left_semi").select("row")
+    # ids grow with the input: planned as at scale whatever the size, by a shuffle
+    out = rows.join(ids.where("count = 1").hint("merge"), same, "left_semi").select("row")
     if ids.where("count > 1").isEmpty():  # as a rule: ids should be unique
         return common.unpacked(out, cols)
     repeated = rows.join(ids.where("count > 1"), same, "left_semi")
