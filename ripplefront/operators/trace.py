@@ -34,10 +34,10 @@ class Steps:
 
     down: DataFrame
     up: DataFrame
-    #: (src, dst, dir): peers over a service's border, entered at depth 0 in direction dir.
-    over: DataFrame | None
-    #: (fqn, resource, acts): a method's own resources, whether or not there is a peer.
+    #: (fqn, resource, acts): a method's own resources, and whether it feeds or is fed by them.
     touched: DataFrame | None
+    #: (resource, acts, dst): who is met beyond a resource by those that feed it, or are fed by it.
+    beyond: DataFrame | None
 
 
 def steps(facts: Facts, config: TraceConfig, extra_consumers: DataFrame | None = None) -> Steps:
@@ -50,16 +50,17 @@ def steps(facts: Facts, config: TraceConfig, extra_consumers: DataFrame | None =
     providing = passive.select("resource", "fqn").unionByName(cross.all_providers(facts)).distinct()
     own = active.where("own").select("resource", "fqn", F.lit(True).alias("acts")).unionByName(providing.withColumn("acts", F.lit(False)))
     touched = own.join(known, "fqn", "left_semi")
-    to_passive = touched.where("acts").select(F.col("fqn").alias("src"), "resource").join(passive, "resource")
-    to_active = touched.where("NOT acts").select(F.col("fqn").alias("src"), "resource").join(active, "resource")
-    over = to_passive.select("src", F.col("fqn").alias("dst"), "resource", F.lit("Down").alias("dir")).unionByName(
-        to_active.select("src", F.col("fqn").alias("dst"), "resource", F.lit("Up").alias("dir"))
-    )
-    return Steps(down, up, over, touched)
+    met = lambda df, acts: df.select("resource", F.lit(acts).alias("acts"), F.col("fqn").alias("dst"))
+    return Steps(down, up, touched, met(passive, True).unionByName(met(active, False)))
 
 
 def reach(spark: SparkSession, seeds: DataFrame, s: Steps, config: TraceConfig, max_rounds: int = 10_000) -> DataFrame:
-    """(fqn, dir, depth): the smallest depth at which each method is reached in each direction."""
+    """(fqn, dir, depth): the smallest depth at which each method is reached in each direction.
+
+    Services are crossed by way of the resource, and each resource once from either side, as
+    what lies beyond it is entered at depth 0 whoever comes: the work is in proportion to
+    the methods that touch resources, not to the pairs that share one.
+    """
     dirs = [d for d, on in (("Up", config.upstream), ("Down", config.downstream)) if on]
     start = seeds.select("fqn").distinct()
     if not dirs:
@@ -67,7 +68,10 @@ def reach(spark: SparkSession, seeds: DataFrame, s: Steps, config: TraceConfig,
     best = cut(start.select("fqn", F.explode(F.array(*map(F.lit, dirs))).alias("dir"), F.lit(0).alias("depth")))
     moves = s.down.select("src", "dst", F.lit("Down").alias("dir")).unionByName(s.up.select("src", "dst", F.lit("Up").alias("dir")))
     moves = kept_by(moves, "src", "dir")
-    over = kept_by(s.over.select("src", "dst", F.col("dir").alias("to")).distinct(), "src") if s.over is not None else None
+    crossing = s.touched is not None
+    if crossing:
+        touched, beyond = kept_by(s.touched, "fqn"), kept_by(s.beyond, "resource", "acts")
+        crossed = cut(s.touched.select("resource", "acts").limit(0))
     frontier, rounds = best, 0
     while not frontier.isEmpty():
         if rounds == max_rounds:
@@ -75,20 +79,28 @@ def reach(spark: SparkSession, seeds: DataFrame, s: Steps, config: TraceConfig,
         rounds += 1
         open_ = frontier.where(F.col("depth") < config.max_depth).withColumnRenamed("fqn", "src")
         found = open_.join(moves, ["src", "dir"]).select(F.col("dst").alias("fqn"), "dir", (F.col("depth") + 1).alias("depth"))
-        if over is not None:
-            crossed = open_.select("src").distinct().join(over, "src")
-            found = found.unionByName(crossed.select(F.col("dst").alias("fqn"), F.col("to").alias("dir"), F.lit(0).alias("depth")))
+        if crossing:
+            here = open_.select(F.col("src").alias("fqn")).distinct().join(touched, "fqn").select("resource", "acts").distinct()
+            new = cut(here.join(crossed, ["resource", "acts"], "left_anti"))
+            crossed = cut(crossed.unionByName(new))
+            there = new.join(beyond, ["resource", "acts"]).select(F.col("dst").alias("fqn"), _way("acts", "Down", "Up").alias("dir"))
+            found = found.unionByName(there.distinct().withColumn("depth", F.lit(0)))
         least = found.groupBy("fqn", "dir").agg(F.min("depth").alias("depth"))
         old = best.withColumnRenamed("depth", "old")
         better = least.join(old, ["fqn", "dir"], "left").where("old IS NULL OR depth < old").drop("old")
         frontier = cut(better)
         best = cut(best.unionByName(frontier).groupBy("fqn", "dir").agg(F.min("depth").alias("depth")))
     moves.unpersist()
-    if over is not None:
-        over.unpersist()
+    if crossing:
+        touched.unpersist()
+        beyond.unpersist()
     return best
 
 
+def _way(acts: str, down: str, up: str):
+    return F.when(F.col(acts), F.lit(down)).otherwise(F.lit(up))
+
+
 def edges(states: DataFrame, s: Steps, config: TraceConfig) -> DataFrame:
     """(src, dst, edge_type, direction) as node ids, each once."""
     open_ = states.where(F.col("depth") < config.max_depth).select("fqn", "dir")
@@ -102,16 +114,16 @@ def edges(states: DataFrame, s: Steps, config: TraceConfig) -> DataFrame:
     if s.touched is not None:
         reached = open_.select("fqn").distinct()
         own = s.touched.join(reached, "fqn", "left_semi")
-        peers = s.over.join(reached.withColumnRenamed("fqn", "src"), "src", "left_semi")
+        peers = own.select("resource", "acts").distinct().join(s.beyond, ["resource", "acts"])
         kind = cross.edge_type(F.col("resource")).alias("edge_type")
-        way = lambda acts: F.when(acts, F.lit("Downstream")).otherwise(F.lit("Upstream")).alias("direction")
+        way = _way("acts", "Downstream", "Upstream").alias("direction")
+        acts = F.col("acts")
         out = out.unionByName(
-            own.select(F.when(F.col("acts"), node("fqn")).otherwise(F.col("resource")).alias("src"),
-                       F.when(F.col("acts"), F.col("resource")).otherwise(node("fqn")).alias("dst"), kind, way(F.col("acts")))
+            own.select(F.when(acts, node("fqn")).otherwise(F.col("resource")).alias("src"),
+                       F.when(acts, F.col("resource")).otherwise(node("fqn")).alias("dst"), kind, way)
         ).unionByName(
-            peers.select(F.when(F.col("dir") == "Down", F.col("resource")).otherwise(node("dst")).alias("src"),
-                         F.when(F.col("dir") == "Down", node("dst")).otherwise(F.col("resource")).alias("dst"), kind,
-                         way(F.col("dir") == "Down"))
+            peers.select(F.when(acts, F.col("resource")).otherwise(node("dst")).alias("src"),
+                         F.when(acts, node("dst")).otherwise(F.col("resource")).alias("dst"), kind, way)
         )
     return out.distinct()
 

@@ -107,7 +107,8 @@ def brute(f, names, config):
     """The same search in plain Python."""
     pull = lambda df: [tuple(r) for r in df.collect()]
     s = trace.steps(f, config)
-    down, up, over = pull(s.down), pull(s.up), pull(s.over.select("src", "dst", "dir"))
+    down, up, touched, beyond = pull(s.down), pull(s.up), pull(s.touched), pull(s.beyond)
+    over = [(n, dst, "Down" if acts else "Up") for n, r, acts in touched for r2, acts2, dst in beyond if (r, acts) == (r2, acts2)]
     best, todo = {}, [(n, d, 0) for n in names for d in ("Up", "Down")]
     while todo:
         n, d, k = todo.pop()
