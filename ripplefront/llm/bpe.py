@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
-from itertools import repeat
 
 import numpy as np
 
-#: Most pre-tokens whose ids a Python worker keeps; beyond it they are forgotten and refilled.
-CACHE_ENTRIES = 250_000
+#: A Python worker keeps the ids of two generations of so many pre-tokens: when the younger is
+#: full it becomes the older, of which only those found again are kept on.
+CACHE_ENTRIES = 150_000
 #: Longer pre-tokens are encoded but not kept.
 CACHE_BYTES = 64
 
@@ -57,9 +57,8 @@ class ByteBpe:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids = np.zeros(0, dtype=np.uint32)
-        self.sizes = np.zeros(0, dtype=np.int64)
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.library.encode_batch(texts, add_special_tokens=False)
@@ -98,37 +97,38 @@ class ByteBpe:
         start[1:] &= ~(last & (data[:-1] == 32))
         return np.flatnonzero(start)
 
-    def lookup(self, found: list[bytes]) -> np.ndarray:
-        """The place of each pre-token's ids in the store, encoding those that are new."""
-        if len(self.known) + len(found) > CACHE_ENTRIES or len(self.ids) > 8 * CACHE_ENTRIES:
-            self.clear()
-        at = np.fromiter(map(self.known.get, found, repeat(-1)), dtype=np.int64, count=len(found))
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            tokens = [found[i] for i in new.tolist()]
-            # words after a blank are encoded as one text, which splits into them again
-            plain = np.array([t[0] == 32 and len(t) > 1 and t[1] not in b"' \t\n\r\x0b\x0c" for t in tokens])
-            ids, sizes = [], np.zeros(len(tokens), dtype=np.int64)
-            for kind in (True, False):
-                own = np.flatnonzero(plain == kind)
-                if not len(own):
-                    continue
-                if kind:
-                    texts = [b"".join(tokens[i] for i in own[k : k + 256].tolist()).decode() for k in range(0, len(own), 256)]
-                    made = np.concatenate([e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)])
-                    word = np.cumsum(self.opens[made]) - 1
-                else:
-                    e = self.library.encode([tokens[i].decode() for i in own], is_pretokenized=True, add_special_tokens=False)
-                    made, word = np.array(e.ids), np.array(e.word_ids)
-                sizes[own] = np.bincount(word, minlength=len(own))
-                ids.append((own, made.astype(np.uint32)))
-            base = len(self.sizes)
-            order = np.concatenate([own for own, _ in ids])
-            at[new[order]] = base + np.arange(len(order))
-            self.ids = np.concatenate((self.ids, *(x for _, x in ids)))
-            self.sizes = np.concatenate((self.sizes, sizes[order]))
-            self.known.update((tokens[i], base + k) for k, i in enumerate(order.tolist()) if len(tokens[i]) <= CACHE_BYTES)
-        return at
+    def lookup(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pre-tokens in a row, and how many each has."""
+        values = list(map(self.known.get, found))
+        new = []
+        for i in [i for i, v in enumerate(values) if v is None]:
+            v = values[i] = self.older.get(found[i])
+            if v is None:
+                new.append(i)
+            else:
+                self.known[found[i]] = v
+        # words after a blank are encoded as one text, which splits into them again
+        plain = [i for i in new if (t := found[i])[0] == 32 and len(t) > 1 and t[1] not in b"' \t\n\r\x0b\x0c"]
+        some = set(plain)
+        other = [i for i in new if i not in some]
+        if plain:
+            texts = [b"".join([found[i] for i in plain[k : k + 256]]).decode() for k in range(0, len(plain), 256)]
+            made = np.concatenate([e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)])
+            self._keep(found, values, plain, made, np.flatnonzero(self.opens[made]))
+        if other:
+            e = self.library.encode([found[i].decode() for i in other], is_pretokenized=True, add_special_tokens=False)
+            self._keep(found, values, other, np.array(e.ids), np.searchsorted(e.word_ids, np.arange(len(other))))
+        if len(self.known) > CACHE_ENTRIES:
+            self.known, self.older = {}, self.known
+        sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+        return np.frombuffer(b"".join(values), dtype=np.uint32), sizes
+
+    def _keep(self, found: list[bytes], values: list, at: list[int], ids: np.ndarray, starts: np.ndarray) -> None:
+        data, cuts = ids.astype(np.uint32).tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+        for k, i in enumerate(at):
+            values[i] = data[cuts[k] : cuts[k + 1]]
+            if len(found[i]) <= CACHE_BYTES:
+                self.known[found[i]] = values[i]
 
     def encode(self, texts) -> list[np.ndarray]:
         """Ids of an Arrow array of texts without nulls."""
@@ -165,12 +165,12 @@ class ByteBpe:
             flat = flat.take(pa.array(np.flatnonzero(~hard[np.searchsorted(ends, begin, side="right")])))
             begin = begin[~hard[np.searchsorted(ends, begin, side="right")]]
         flat = flat.dictionary_encode()
-        place = self.lookup(flat.dictionary.to_pylist())[flat.indices.to_numpy()]
-        sizes = self.sizes[place]
-        store = np.cumsum(self.sizes) - self.sizes
+        store, each = self.lookup(flat.dictionary.to_pylist())
+        place = flat.indices.to_numpy()
+        sizes = each[place]
         upto = np.cumsum(sizes)
-        shift = (store[place] - upto + sizes).astype(np.int32)
-        ids = self.ids[np.repeat(shift, sizes) + np.arange(upto[-1] if len(upto) else 0, dtype=np.int32)]
+        shift = ((np.cumsum(each) - each)[place] - upto + sizes).astype(np.int32)
+        ids = store[np.repeat(shift, sizes) + np.arange(upto[-1] if len(upto) else 0, dtype=np.int32)]
         # pre-tokens of a document are those that start before its end
         stops = np.concatenate(([0], upto))[np.searchsorted(begin, ends)]
         starts = np.concatenate(([0], stops[:-1]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -31,7 +33,9 @@ def scratch_root(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_scratch:
-        _own_scratch[app] = "file://" + tempfile.mkdtemp(prefix="ripplefront-")
+        folder = tempfile.mkdtemp(prefix="ripplefront-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_scratch[app] = f"file://{folder}"
         spark.sparkContext.setCheckpointDir(_own_scratch[app])
     return _own_scratch[app]
 
