@@ -44,7 +44,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = common.table(spark, sf_dir, "documents"), common.scratch_path(spark, "token-files")
     path = public_tokenizers.path("byte_bpe_50k.json")
-    manifest = token_files.write_token_files(docs, "doc_id", "text", path, 2, folder)
+    manifest = token_files.write_token_files(docs, "doc_id", "text", path, 2, folder, slice_bytes=4 << 20)
 
     def digest(ids):
         return len(ids), zlib.crc32(ids.astype("<u4").tobytes())

@@ -199,15 +199,17 @@ class Reader:
 
 
 def write_token_files(
-    df: DataFrame, doc_id: str, text: str, tokenizer: str, end_id: int, folder: str, percentile: int = PERCENTILE
-) -> DataFrame:
+    df: DataFrame, doc_id: str, text: str, tokenizer: str, end_id: int, folder: str, percentile: int = PERCENTILE,
+    slice_bytes: int = 2 << 20,
+) -> DataFrame:
     """Write ids of every whole text to files in ``folder``; their manifest is returned.
 
     Manifest: shard, path, n_docs, n_ids, start (ids in the shards before), in shard order.
     Documents are encoded where they are read; their ids, a few bytes each, are sent to
     shards cut by ranges of doc_id. Null ids come first, repeated ids stay repeated, in the
     order of their ids' bytes; null texts are empty: the end id alone. Other columns are
-    ignored; an empty table writes no file. A file a lost or repeated task left behind isn't
+    ignored; an empty table writes no file. A worker encodes ``slice_bytes`` of texts at
+    once: more take more memory and less time. A file a lost or repeated task left behind isn't
     in the manifest, so it is never read.
     """
     import pyarrow as pa
@@ -221,7 +223,7 @@ def write_token_files(
     def encode(batches):
         e = bpe.encoder(tokenizer)
         kind = "<u2" if e.vocabulary <= 1 << 16 and end_id < 1 << 16 else "<u4"
-        for b in common.slices(batches, "_text", 2 << 20):
+        for b in common.slices(batches, "_text", slice_bytes):
             ids = [np.append(x, np.uint32(end_id)).astype(kind).tobytes() for x in e.encode(b.column("_text"))]
             width = pa.array(np.full(b.num_rows, int(kind[2]), dtype=np.int32))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("shard"), width, pa.array(ids, pa.binary())], names=["doc_id", "shard", "width", "ids"])
