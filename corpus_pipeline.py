@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages, each written as Parquet and reread as the next one's input.
 
 1. language: documents whose text has no letter, or no language with over half of it, go.
-2. near_duplicates: of each component of near-duplicate SimHashes the smallest doc_id stays.
+2. near_duplicates: of each component of texts at least 0.8 alike, by shared shingles of five
+   words, the smallest doc_id stays.
 3. decontamination: documents that hold a benchmark item at a similarity of 0.8 or more go.
 4. mixing: each document is repeated as often as its source's target weight takes it.
 5. token_files: ids of every kept text in shard files; a row for each document read back.
@@ -15,10 +16,10 @@ from __future__ import annotations
 import zlib
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ripplefront.llm import common, decontaminate, language, mixing, simhash, token_files
+from ripplefront.llm import common, decontaminate, language, mixing, similar, token_files
 
 #: The least share of a document that its main language has to have.
 MAIN_LANGUAGE = 0.5
@@ -36,19 +37,24 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component: the smallest id's, the first text of rows that share it."""
+    """One row of each component of texts at least 0.8 alike: the smallest id's.
+
+    Of rows that share an id, and represent components, the first text stays; null ids
+    are no shared id.
+    """
     cols = docs.columns
-    found = simhash.near_duplicates(docs, "doc_id", "text")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = common.stored(kept.groupBy("doc_id").count().withColumnRenamed("doc_id", "id"), "kept-ids")
-    rows = common.packed(docs, cols, F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    won = similar.representatives(docs, "doc_id", "text").select(F.col("doc_id").alias("id"), F.col("x").alias("y"), "copies")
+    one = Window.partitionBy("id", F.when(F.col("id").isNull(), F.col("y")))
+    kept = common.stored(won.withColumn("copies", F.sum("copies").over(one)), "kept-rows")
+    text = F.coalesce("text", F.lit(""))
+    rows = common.packed(docs, cols, F.col("doc_id"), text.alias("text"), F.xxhash64(text).alias("x"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("x") == F.col("y"))
     # ids grow with the input: planned as at scale whatever the size, by a shuffle
-    out = rows.join(ids.where("count = 1").hint("merge"), same, "left_semi").select("row")
-    if ids.where("count > 1").isEmpty():  # as a rule: ids should be unique
+    out = rows.join(kept.where("copies = 1").hint("merge"), same, "left_semi").select("row")
+    if kept.where("copies > 1").isEmpty():  # as a rule: ids should be unique
         return common.unpacked(out, cols)
-    repeated = rows.join(ids.where("count > 1"), same, "left_semi")
-    first = repeated.groupBy("doc_id").agg(F.min_by("row", "text").alias("row")).select("row")
+    repeated = rows.join(kept.where("copies > 1"), same, "left_semi")
+    first = repeated.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("x"))).agg(F.min_by("row", "text").alias("row")).select("row")
     return common.unpacked(out.unionByName(first), cols)
 
 
