@@ -59,12 +59,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item. Texts are judged, not ids, which may be null or shared."""
     cols = docs.columns
-    found = decontaminate.leaks(docs, common.table(spark, sf_dir, "benchmark"))
-    ids = common.stored(found.select(F.col("doc_id").alias("id")).distinct(), "leaks")
-    rows = common.packed(docs, cols, F.col("doc_id"))
-    return common.unpacked(rows.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti"), cols)
+    x = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = decontaminate.leaks(docs.select(x.alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
+    texts = common.stored(found.select(F.col("doc_id").alias("y")).distinct(), "leaks")
+    rows = common.packed(docs, cols, x.alias("x"))
+    return common.unpacked(rows.join(texts, F.col("x") == F.col("y"), "left_anti"), cols)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,3 +53,20 @@ def test_groups_at_08_are_found(spark):
     docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], DOCS).repartition(3)
     got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
     assert sorted(r["doc_id"] for r in got.collect()) == want
+
+
+def test_null_ids_of_unlike_texts_stay(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"]
+    rows = [(None, t, "en", "s") for t in [*texts, texts[0], texts[1] + " more"]] + [(7, texts[2] + " more", "en", "s")]
+    got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    kept = [t for t in texts[3:]] + [texts[2] + " more"]
+    assert len(got) == 6 and set(kept) <= {r["text"] for r in got} and texts[2] not in {r["text"] for r in got}
+
+
+def test_only_leaking_rows_go(spark, tmp_path):
+    item = "what is asked here is a question of rather many words that nobody else would ask"
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = [(i, f"clean text number {n} about other things than that", "en", "s") for n, i in enumerate([None, None, 3, 4])]
+    rows = [*clean, (None, f"so then {item} it says", "en", "s"), (3, item.upper(), "en", "s"), (5, None, "en", "s")]
+    got = corpus_pipeline.decontamination_stage(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in spark.createDataFrame([*clean, rows[-1]], DOCS).collect())
