@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages, each written as Parquet and reread as the next one's input.
 
-1. language: documents whose text has no letter, or no language with over half of it, go.
+1. language: documents whose text has no letter, in which no language is found, go.
 2. near_duplicates: of each component of texts at least 0.8 alike, by shared shingles of five
    words, the smallest doc_id stays.
 3. decontamination: documents that hold a benchmark item at a similarity of 0.8 or more go.
@@ -15,25 +15,29 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ripplefront.llm import common, decontaminate, language, mixing, similar, token_files
 
-#: The least share of a document that its main language has to have.
-MAIN_LANGUAGE = 0.5
 END_ID = 2
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a main language. Null and letterless texts are rejected."""
+    """Documents with a language. Null and letterless texts are rejected.
+
+    Where no document has a language to learn from, every text with a letter stays.
+    """
     # under names that can't clash with what the operator adds, so that every column passes through
     safe = {c: f"column_{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[docs[f"`{c}`"].alias(x) for c, x in safe.items()])
-    found = language.identify(rows, safe["text"], language.fit(docs))
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MAIN_LANGUAGE))
-    return kept.select(*[F.col(x).alias(c) for c, x in safe.items()])
+    model = language.fit(docs)
+    if not model.langs:
+        model = language.Model(["any"], np.ones((language.BUCKETS, 1), np.float32))
+    found = language.identify(rows, safe["text"], model)
+    return found.where(F.col("lang_pred") != "und").select(*[F.col(x).alias(c) for c, x in safe.items()])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

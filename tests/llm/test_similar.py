@@ -70,3 +70,20 @@ def test_only_leaking_rows_go(spark, tmp_path):
     rows = [*clean, (None, f"so then {item} it says", "en", "s"), (3, item.upper(), "en", "s"), (5, None, "en", "s")]
     got = corpus_pipeline.decontamination_stage(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()
     assert sorted(map(str, got)) == sorted(str(r) for r in spark.createDataFrame([*clean, rows[-1]], DOCS).collect())
+
+
+def test_several_languages_stay(spark):
+    r = random.Random(2)
+    parts = {lang: [f"{lang}{a}{b}" for a in "aeiouxyz" for b in "klmnprst"] for lang in ("dog", "fiv", "hum")}
+    prose = lambda lang, n: " ".join(r.choice(parts[lang]) for _ in range(n))
+    rows = [(i, prose(lang, 200), lang, "s") for i in range(60) for lang in parts]
+    mixed = " ".join(prose(lang, 300) for lang in parts)
+    docs = spark.createDataFrame([*rows, (1000, mixed, None, "s"), (1001, "12 !!", None, "s")], DOCS)
+    got = {x["doc_id"] for x in corpus_pipeline.language_stage(spark, docs, "").collect()}
+    assert 1000 in got and 1001 not in got
+
+
+def test_no_language_to_learn_from(spark):
+    rows = [(1, "words of some language", None, "s"), (2, "a", None, "s"), (3, "1234 !!", None, "s"), (4, None, None, "s")]
+    got = corpus_pipeline.language_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted(x["doc_id"] for x in got) == [1, 2]
