@@ -56,7 +56,7 @@ VIEWS: dict[str, str] = {
         UNION SELECT 'db', CAST(NULL AS STRING), o_orderpriority || '-' || substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 7) FROM orders WHERE o_orderstatus = 'P'
         UNION SELECT 'redis', CAST(NULL AS STRING), source || ':' || lang FROM documents""",
     "hunks": """SELECT 'part/' || p_brand AS file_path, CAST(p_partkey + l_linenumber AS INT) AS new_start,
-        CAST(floor(l_quantity / 10) AS INT) AS new_lines FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_quantity >= 50""",
+        CAST(floor(l_quantity / 10) AS INT) AS new_lines FROM lineitem JOIN part ON l_partkey = p_partkey""",
 }
 
 #: The operators' views that come before another view in its SQL.
