@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ SPACE = r"\x20\x09-\x0D"
 
 _own_scratch: dict[str, str] = {}
 _written: list[str] = []
+_kept: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,9 +42,11 @@ def scratch_root(spark: SparkSession) -> str:
     return _own_scratch[app]
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
+def scratch_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A new path in the shared folder; what is written to a lasting one is never cleared away."""
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    if not lasting:
+        _written.append(path)
     return path
 
 
@@ -60,6 +64,24 @@ def release(spark: SparkSession) -> None:
         delete_path(spark, path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Scratch tables written inside go at the end, but for those that are kept.
+
+    Kept tables go when the next block ends that keeps another one in their place.
+    """
+    before, kept = list(_written), []
+
+    def keep(df: DataFrame) -> None:
+        kept.append(df.scratch)
+
+    yield keep
+    old = [p for p in _kept if p in before and p not in kept]
+    for path in [p for p in _written if p not in before and p not in kept] + old:
+        delete_path(spark, path)
+    _kept[:] = kept
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)

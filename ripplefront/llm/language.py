@@ -25,6 +25,8 @@ BUCKETS = 1 << 16
 #: At most so many documents of a language are learned from, none of them longer than this.
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 100_000
+#: At most so many languages are learned, the most frequent ones; each takes 256 KB in every worker.
+MAX_LANGS = 256
 #: A further language has to gain so many times the logarithm of the number of trigrams.
 PENALTY = 4.0
 ROUNDS = 25
@@ -44,6 +46,14 @@ def _letters() -> np.ndarray:
     return _tables["letters"]
 
 
+def _lettered(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of the texts have a letter; marks alone are none."""
+    if "is" not in _tables:
+        _tables["is"] = np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
+    upto = np.concatenate(([0], np.cumsum(_tables["is"][raw])))
+    return np.diff(upto[np.concatenate(([1], ends + 1))]) > 0
+
+
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The trigram buckets of all texts in a row, and where each text's end.
 
@@ -52,7 +62,9 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     joined = "\n" + "".join(t + "\n\n" for t in texts)
     raw = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32)
     c = _letters()[raw]
-    ends = np.cumsum([len(t) + 2 for t in texts])
+    sizes = np.array([len(t) + 2 for t in texts], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    c[1:][np.repeat(~_lettered(raw, ends), sizes)] = 32  # marks without any letter are no word
     keep = np.ones(len(c), dtype=bool)
     keep[1:] = (c[1:] != 32) | (c[:-1] != 32)
     upto = np.cumsum(keep)
@@ -143,22 +155,22 @@ class Model:
         return out
 
 
-def fit(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
+def fit(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, max_langs: int = MAX_LANGS) -> Model:
     """Learn from text and lang of rows with a language that aren't held out.
 
     The sample is a hash of the id's choice: up to about ``sample_docs`` documents of each
     language with at most ``sample_chars`` characters, whole. Where a language has no such
-    document it isn't learned.
+    document it isn't learned. Of more than ``max_langs`` languages, the most frequent count.
     """
     usable = documents.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~common.held_out("doc_id") & (F.length("text") <= sample_chars)
     ).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     if not counts:
         return Model([], np.zeros((BUCKETS, 1), np.float32))
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, sample_docs / n)))])
     lot = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = usable.where(lot < share[F.col("lang")]).select("lang", "text", lot.alias("lot")).collect()
+    rows = usable.where(F.col("lang").isin(*counts) & (lot < share[F.col("lang")])).select("lang", "text", lot.alias("lot")).collect()
     # a lot may let in a few more than asked for: the smallest lots stay
     taken, kept = dict.fromkeys(counts, 0), []
     for r in sorted(rows, key=lambda r: (r["lot"], r["text"])):

@@ -1,14 +1,18 @@
 """Near-duplicates by exact similarity: no pair that reaches the threshold is missed.
 
 The similarity is shared over joint shingles of five words, each counted once; words are
-those of ``decontaminate``. Each text lists the first of its shingles in an order all texts
-keep: of n shingles, so many that two texts as similar as the threshold share at least
-SHARED listed ones, or all they share (prefix filter). Any order does; frequent shingles,
-told from a sample, come last, so that lists stay short. Texts with equal shingles are one
-entry. Pairs that share so many, and that sizes and places don't rule out, are compared.
-
-Only components count. Where a list is long, neighbours by size are compared first, and
-pairs that this leaves in one component aren't tried again.
+those of ``decontaminate``. Texts with equal shingles are one entry. Each entry has a
+SimHash of its shingles; links come from the byte-position index of ``simhash``, and are
+verified exactly. At a similarity of 0.8 about 10 of 64 bits differ, which may spoil all 8
+bytes, so no count of shared bytes is guaranteed there: what lies beyond the index's radius
+is found by a prefix filter. Each entry lists the first of its shingles in an order all
+entries keep: of n shingles, so many that two entries as similar as the threshold share at
+least SHARED listed ones, or all they share. Any order does; frequent shingles, told from a
+sample, come last, so that lists stay short. Pairs that share so many, and that sizes and
+places don't rule out, are compared.
+
+Only components count: pairs that the SimHash links, or in long lists neighbours by size,
+leave in one component aren't tried again.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simhash
 from .components import components
 from .decontaminate import SHINGLE_WORDS, THRESHOLD, among, shingles, word_codes
 
@@ -174,21 +178,23 @@ def representatives(df: DataFrame, doc_id: str, text: str, threshold: float = TH
 
         frequent, rank = shared.value
         for b in common.slices(batches, "text"):
-            g, n, first = [], [], []
+            g, fp, n, first = [], [], [], []
             for own in shingle_sets(b.column("text").to_pylist()):
                 g.append(xxh3_64_intdigest(own.tobytes()))
+                fp.append(simhash.majority(own[i : i + simhash.CHUNK] for i in range(0, len(own), simhash.CHUNK)))
                 n.append(len(own))
                 first.append(listed(own, frequent, rank, threshold))
             ends = np.concatenate(([0], np.cumsum([len(p) for p in first]))).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)
-            arrays = [pa.array(np.array(g, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("x"), *arrays], names=["doc_id", "x", "g", "n", "first"])
+            signed = [pa.array(np.array(v, dtype=np.uint64).view(np.int64)) for v in (g, fp)]
+            arrays = [*signed, pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("x"), *arrays], names=["doc_id", "x", "g", "fp", "n", "first"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = common.stored(rows.mapInArrow(made, f"doc_id {kind}, x long, g long, n int, first array<long>"), "similar")
+    found = common.stored(rows.mapInArrow(made, f"doc_id {kind}, x long, g long, fp long, n int, first array<long>"), "similar")
     # the row whose text stands for an entry, and the smallest id of it
     by = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x")
-    entries = common.stored(found.groupBy("g").agg(F.min(by).alias("least")), "similar-entries")
+    entries = common.stored(found.groupBy("g").agg(F.min(by).alias("least"), F.min("fp").alias("fp")), "similar-entries")
 
     # rows of an entry list the same
     postings = found.select("g", "n", "first").dropDuplicates(["g"]).select("g", "n", F.posexplode("first").alias("i", "key"))
@@ -201,16 +207,16 @@ def representatives(df: DataFrame, doc_id: str, text: str, threshold: float = TH
     dealt = postings.select("key", "g", "n", "i").repartition(common.n_partitions(spark), "key").sortWithinPartitions("key")
     lists = common.stored(dealt.mapInArrow(_joined(several), "key long, g long, n int, i int, size int"), "similar-lists")
 
-    long, near, apart = lists.where(F.col("size") > LONG), None, lists.withColumn("class", F.col("g"))
-    if not long.isEmpty():
-        order = Window.partitionBy("key").orderBy("n", "g")
-        chain = long.select("g", F.lead("g").over(order).alias("h"), "n", F.lead("n").over(order).alias("m"))
-        chain = chain.where(F.col("n") >= F.lit(threshold) * F.col("m") - F.lit(1e-6))
-        near = _verified(chain.select(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b")).distinct(), entries, rows, threshold)
-        classes = common.stored(components(near, "a", "b").select(F.col("node").alias("g"), F.col("component").alias("class")), "similar-classes")
-        apart = lists.join(classes, "g", "left").withColumn("class", F.coalesce("class", "g"))
+    order = Window.partitionBy("key").orderBy("n", "g")
+    chain = lists.where(F.col("size") > LONG).select("g", F.lead("g").over(order).alias("h"), "n", F.lead("n").over(order).alias("m"))
+    chain = chain.where(F.col("n") >= F.lit(threshold) * F.col("m") - F.lit(1e-6))
+    chain = chain.select(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b"))
+    near = _verified(chain.unionByName(_hashed(entries)).distinct(), entries, rows, threshold)
+    classes = components(near, "a", "b").select(F.col("node").alias("g"), F.col("component").alias("class"))
+    classes = common.stored(classes, "similar-classes")
+    apart = lists.join(classes, "g", "left").withColumn("class", F.coalesce("class", "g"))
     links = _verified(_tried(apart, threshold), entries, rows, threshold)
-    found_in = components(links if near is None else links.unionByName(near), "a", "b").withColumnRenamed("node", "g")
+    found_in = components(links.unionByName(near), "a", "b").withColumnRenamed("node", "g")
 
     least = entries.join(found_in, "g", "left").groupBy(F.coalesce("component", "g").alias("component")).agg(F.min("least").alias("least"))
     won = least.select(F.col("least.doc_id").alias("id"), F.col("least.x").alias("y"))
@@ -218,6 +224,16 @@ def representatives(df: DataFrame, doc_id: str, text: str, threshold: float = TH
     return copies.join(won.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("x") == F.col("y")), "left_semi")
 
 
+def _hashed(entries: DataFrame) -> DataFrame:
+    """(a, b): entries whose SimHashes are equal or linked, as a forest."""
+    first = common.stored(entries.groupBy("fp").agg(F.min("g").alias("first")), "similar-fps")
+    same = common.lookup(entries.select("g", "fp"), first, "fp").where("g <> first").select("g", "first")
+    pairs = common.stored(simhash.links(first.select("fp")), "similar-fp-links")
+    one = common.stored(common.lookup(pairs.withColumnRenamed("a", "fp"), first, "fp").select(F.col("first").alias("g"), F.col("b").alias("fp")), "similar-fp-links")
+    across = common.lookup(one, first, "fp").select("g", "first")
+    return same.unionByName(across).select(F.least("g", "first").alias("a"), F.greatest("g", "first").alias("b"))
+
+
 def _joined(function, rows: int = 1 << 16):
     """The function's many small batches as fewer of about ``rows`` rows."""
     import pyarrow as pa

@@ -35,14 +35,18 @@ def test_language_rejects_what_has_none(stages):
     assert {50, 51, 52, 53} <= gone and len(gone) < 12
 
 
-def test_one_document_of_each_group_stays(spark, stages):
-    from ripplefront.llm import simhash
+def same_row(df):
+    return sorted(map(str, df.collect()))
 
-    before, after = stages["language"], stages["near_duplicates"]
-    found = simhash.near_duplicates(before, "doc_id", "text").collect()
-    want = {r["component_id"] for r in found}
-    assert set(ids(after)) == want and after.count() == len(want)
-    assert 10 in want and not {11, 12} & want
+
+def test_one_row_of_each_group_stays(stages):
+    from test_similar import rows_wanted
+
+    before = [(r["doc_id"], r["text"] or "") for r in stages["language"].collect()]
+    after = [(r["doc_id"], r["text"] or "") for r in stages["near_duplicates"].collect()]
+    assert sorted(after, key=str) == sorted(rows_wanted(before), key=str)
+    assert 10 in ids(stages["near_duplicates"]) and not {11, 12} & set(ids(stages["near_duplicates"]))
+    assert ids(stages["near_duplicates"]).count(61) == 2  # unlike texts under one id
 
 
 def test_leaks_go(stages):
@@ -51,7 +55,8 @@ def test_leaks_go(stages):
 
 def test_mix_repeats_rows(stages):
     a, b = stages["decontamination"], stages["mixing"]
-    assert set(ids(b)) <= set(ids(a)) and b.distinct().count() == b.select("doc_id").distinct().count()
+    known, found = same_row(a), same_row(b)
+    assert set(found) <= set(known) and all(found.count(x) <= 2 * known.count(x) for x in found)
 
 
 def test_tokens_of_every_row(stages):

@@ -46,6 +46,62 @@ def smallest(texts):
     return [i for i in range(len(texts)) if root[i] == i]
 
 
+def rows_wanted(rows):
+    """Of each component of (doc_id, text) rows the one with the smallest id; ids may be null or shared."""
+    texts = sorted({t for _, t in rows})
+    root = {t: t for t in texts}
+
+    def top(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            if similarity(a, b) >= 0.8:
+                root[top(a)] = top(b)
+    least = {}
+    for d, t in rows:
+        key = (d is None, d or 0)
+        least[top(t)] = min(least.get(top(t), (key, d, t)), (key, d, t), key=lambda x: (x[0], xx(x[2])))
+    return [(d, t) for _, d, t in least.values()]
+
+
+def xx(text):
+    """XXH64 as Spark has it: of equal ids in a component the text with the smallest one stays."""
+    import xxhash
+
+    v = xxhash.xxh64_intdigest(text.encode(), 42)
+    return v - (1 << 64) if v >> 63 else v
+
+
+def test_rows_with_shared_and_null_ids(spark):
+    r = random.Random(5)
+    texts = [" ".join(f"{c}{r.randrange(10**6)}" for _ in range(40)) for c in "abcdefgh"]
+    more = [t + " and more" for t in texts]
+    rows = [(61, texts[0]), (61, texts[1]), (None, texts[2]), (None, texts[3]), (None, more[3]), (7, texts[4]), (7, texts[4]), (3, more[4])]
+    rows += [(None, texts[5]), (9, more[5]), (None, texts[6]), (None, texts[6]), (5, texts[7]), (5, more[7]), (5, ""), (6, None), (None, "")]
+    want = rows_wanted([(d, t or "") for d, t in rows])
+    docs = spark.createDataFrame([(d, t, "en", f"s{i}") for i, (d, t) in enumerate(rows)], DOCS).repartition(3)
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
+    assert sorted(((x["doc_id"], x["text"] or "") for x in got), key=str) == sorted(want, key=str) and len(got) == 9
+    assert sum(x["doc_id"] == 61 for x in got) == 2
+
+
+def test_groups_beyond_the_index_and_long_lists(spark, monkeypatch):
+    from ripplefront.llm import similar, simhash
+
+    monkeypatch.setattr(similar, "LONG", 5)
+    texts = near_copies()
+    fps = [simhash.majority([s]) for s in similar.shingle_sets(texts)]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if similarity(texts[i], texts[j]) >= 0.8]
+    far = [p for p in pairs if (fps[p[0]] ^ fps[p[1]]).bit_count() > 4]
+    assert far and len(far) < len(pairs)  # some links are the index's, some lie beyond it
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], DOCS).repartition(3)
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert sorted(r["doc_id"] for r in got.collect()) == smallest(texts)
+
+
 def test_groups_at_08_are_found(spark):
     texts = near_copies()
     want = smallest(texts)
