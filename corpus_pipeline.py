@@ -2,7 +2,8 @@
 
 1. language: documents whose text has no letter, in which no language is found, go.
 2. near_duplicates: of each component of texts at least 0.8 alike, by shared shingles of five
-   words, the smallest doc_id stays.
+   words, one row stays, with the smallest doc_id. Candidates come from SimHash's byte-position
+   index, and from a prefix filter beyond its radius; all are decided exactly.
 3. decontamination: documents that hold a benchmark item at a similarity of 0.8 or more go.
 4. mixing: each document is repeated as often as its source's target weight takes it.
 5. token_files: ids of every kept text in shard files; a row for each document read back.
@@ -41,29 +42,35 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of texts at least 0.8 alike: the smallest id's.
+    """One row of each component of texts at least 0.8 alike: one with the smallest id.
 
-    Of rows that share an id, and represent components, the first text stays; null ids
-    are no shared id.
+    Rows count, not ids: unlike texts under one id, or under none, are in components of
+    their own, and each of those keeps a row. A row without an id stays only if no row of
+    its component has one. Of rows with the same id and text one stays, the first by its
+    JSON. Null and empty texts are alike. An empty table stays empty.
     """
     cols = docs.columns
     won = similar.representatives(docs, "doc_id", "text").select(F.col("doc_id").alias("id"), F.col("x").alias("y"), "copies")
-    one = Window.partitionBy("id", F.when(F.col("id").isNull(), F.col("y")))
-    kept = common.stored(won.withColumn("copies", F.sum("copies").over(one)), "kept-rows")
+    kept = common.stored(won, "kept-rows")
     text = F.coalesce("text", F.lit(""))
-    rows = common.packed(docs, cols, F.col("doc_id"), text.alias("text"), F.xxhash64(text).alias("x"))
+    rows = common.packed(docs, cols, F.col("doc_id"), F.xxhash64(text).alias("x"))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("x") == F.col("y"))
     # ids grow with the input: planned as at scale whatever the size, by a shuffle
     out = rows.join(kept.where("copies = 1").hint("merge"), same, "left_semi").select("row")
     if kept.where("copies > 1").isEmpty():  # as a rule: ids should be unique
         return common.unpacked(out, cols)
     repeated = rows.join(kept.where("copies > 1"), same, "left_semi")
-    first = repeated.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("x"))).agg(F.min_by("row", "text").alias("row")).select("row")
+    first = repeated.groupBy("doc_id", "x").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
     return common.unpacked(out.unionByName(first), cols)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item. Texts are judged, not ids, which may be null or shared."""
+    """Documents without a benchmark item at a similarity of 0.8 or more.
+
+    Texts are judged, not ids: rows stay or go by their own text, whether their ids are null
+    or shared. Null, empty and wordless texts hold no item and stay; repeated rows stay
+    repeated. Without items, or without documents, nothing goes.
+    """
     cols = docs.columns
     x = F.xxhash64(F.coalesce("text", F.lit("")))
     found = decontaminate.leaks(docs.select(x.alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
@@ -73,13 +80,22 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it: rows come 0, 1 or 2 times, unchanged.
+
+    Null sources are a source of their own, the last; empty and null texts have size 0 and
+    are taken at their source's rate, or never if the whole source has no words. Rows that
+    share id, source and size share what these are taken. An empty table stays empty.
+    """
     return mixing.mixed(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, read back from the files."""
-    folder = common.scratch_path(spark, "pipeline-token-files")
+    """doc_id, start, n_tokens and ids_crc32 of every document, read back from the files.
+
+    Null texts are empty ones: the end id alone. Null ids come first; repeated rows are
+    written as often as they come. An empty table gives an empty one.
+    """
+    folder = common.scratch_path(spark, "pipeline-token-files", lasting=True)
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     manifest = token_files.write_token_files(docs, "doc_id", "text", tokenizer, END_ID, folder)
 
@@ -100,10 +116,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
+    """All stages over the documents table; what a stage left behind goes once the next is written."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with common.scratch(spark) as keep:
+            docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+            keep(docs)
     return docs
 
 
