@@ -16,7 +16,6 @@ SPACE = r"\x20\x09-\x0D"
 
 _own_scratch: dict[str, str] = {}
 _written: list[str] = []
-_kept: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,20 +65,16 @@ def release(spark: SparkSession) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Scratch tables written inside go at the end, but for those that are kept.
+    """Scratch tables written inside the block go at its end, but for those it keeps."""
+    before, kept = set(_written), []
 
-    Kept tables go when the next block ends that keeps another one in their place.
-    """
-    before, kept = list(_written), []
-
-    def keep(df: DataFrame) -> None:
+    def keep(df: DataFrame) -> DataFrame:
         kept.append(df.scratch)
+        return df
 
     yield keep
-    old = [p for p in _kept if p in before and p not in kept]
-    for path in [p for p in _written if p not in before and p not in kept] + old:
+    for path in [p for p in _written if p not in before and p not in kept]:
         delete_path(spark, path)
-    _kept[:] = kept
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -108,36 +103,82 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def range_bucket(df: DataFrame, key: str, n: int, segments: int = 64) -> tuple[Column, int]:
-    """A monotone bucket number of an integer key, and how many buckets there are.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+
+def range_bucket(df: DataFrame, key: str, n: int, tie: Column | None = None, segments: int = 64) -> tuple[Column, int]:
+    """A monotone bucket number of an integer key, and how many buckets there are (about ``n``).
 
     Quantile bounds cut the key into at most ``segments`` segments; each is cut evenly into
-    as many parts as ``n`` buckets need. Nulls, which sort first, are in bucket 0. Bounds are
-    values, not a partitioner's sample, so the bucket of a key is the same in every job.
+    as many parts as ``n`` buckets need. Nulls sort first. A value that holds over one
+    segment, and nulls that do, have buckets of their own: with ``tie``, a hash of the row,
+    as many as their share asks for, each row in the one its hash names. Bounds are exact
+    integers, not a partitioner's sample, so a row's bucket is the same in every job. Any
+    longs do; differences are taken within 62 bits only.
     """
     k = max(1, min(segments, n))
-    probs = [i / k for i in range(k + 1)]
-    found = df.select(F.col(key).cast("double").alias(key)).approxQuantile(key, probs, 0.002)
-    lows = sorted({int(b) for b in found})
-    if len(lows) < 2:
-        return F.lit(0), 1
-    lows, high = lows[:-1], lows[-1]
-    parts = max(1, -(-n // len(lows)))
-    c = F.col(key)
+    c = F.col(key).cast("long")
+    probs = F.array(*[F.lit(i / k) for i in range(k + 1)])
+    found = df.agg(
+        F.count(F.lit(1)).alias("rows"), F.count(c).alias("known"), F.min(c).alias("low"), F.max(c).alias("high"),
+        F.percentile_approx(c, probs, F.lit(1000)).alias("q"),
+    ).first()
+    nulls = found["rows"] - found["known"]
+    spread = lambda share: max(1, round(share * n)) if tie is not None else 1
+    none_parts = spread(nulls / found["rows"]) if nulls else 1
+    pieces = _pieces(found, k, n, spread) if found["known"] else []
+    total = none_parts + sum(parts for *_, parts, _ in pieces)
+    dealt = lambda parts: F.pmod(tie, F.lit(parts)) if parts > 1 else F.lit(0)
 
     def within(i: int) -> Column:
-        low, top = lows[i], (lows + [high])[i + 1]
-        width = max(1, top - low)
-        part = F.floor((c - F.lit(low)) * F.lit(parts) / F.lit(width))
-        return F.lit(i * parts) + F.greatest(F.lit(0), F.least(F.lit(parts - 1), part))
+        low, high, parts, one = pieces[i]
+        before = F.lit(none_parts + sum(p[2] for p in pieces[:i]))
+        if one:
+            return before + dealt(parts)
+        inside = F.greatest(F.lit(low), F.least(F.lit(high), c)) - F.lit(low)
+        width = (high - low + 1) / parts
+        return before + F.least(F.lit(parts - 1), F.floor(inside / F.lit(width)))
 
     def pick(a: int, b: int) -> Column:
         if b - a == 1:
             return within(a)
         m = (a + b) // 2
-        return F.when(c < F.lit(lows[m]), pick(a, m)).otherwise(pick(m, b))
-
-    return F.when(c.isNull(), 0).otherwise(pick(0, len(lows))).cast("int"), len(lows) * parts
+        return F.when(c < F.lit(pieces[m][0]), pick(a, m)).otherwise(pick(m, b))
+
+    none = dealt(none_parts)
+    if not pieces:
+        return none.cast("int"), total
+    return F.when(c.isNull(), none).otherwise(pick(0, len(pieces))).cast("int"), total
+
+
+def _pieces(found, k: int, n: int, spread) -> list[tuple[int, int, int, bool]]:
+    """(first, last, parts, whether it is one value) of each piece, in order, without gaps."""
+    low, high = found["low"], found["high"]
+    bounds = [min(max(int(q), low), high) for q in found["q"]]
+    cuts = sorted({low, high, *bounds})
+    per = max(1, -(-n // k))
+    out = []
+
+    def stretch(a: int, z: int) -> None:
+        if a > z:
+            return
+        if z - a >= 1 << 62:
+            middle = (a + z) // 2
+            stretch(a, middle)
+            stretch(middle + 1, z)
+        else:
+            out.append((a, z, min(per, z - a + 1), False))
+
+    for i, v in enumerate(cuts):
+        times = bounds.count(v)
+        hot = times > 1 and v != high or times > 2 or low == high
+        upto = cuts[i + 1] - 1 if i + 1 < len(cuts) else v
+        if hot:
+            out.append((v, v, spread((times - 1) / k), True))
+            stretch(v + 1, upto)
+        else:
+            stretch(v, upto)
+    return out
 
 
 def open_uri(uri: str):

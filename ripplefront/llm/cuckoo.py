@@ -47,12 +47,31 @@ class CuckooFilter:
         return (self.table[a] == fp[:, None]).any(axis=1) | (self.table[b] == fp[:, None]).any(axis=1)
 
     def insert(self, hashes: np.ndarray) -> None:
+        """All or, where there is no room, those before the first that found none."""
         fps, firsts, seconds = self._places(hashes)
-        for fp, a, b in zip(fps.tolist(), firsts.tolist(), seconds.tolist(), strict=True):
-            if not (self._put(a, fp) or self._put(b, fp)):
-                self._kick(a, fp)
+        todo = np.arange(len(fps))
+        for places in (firsts, seconds):  # as many at once as free slots take
+            todo = todo[~self._fill(fps[todo], places[todo])]
+        for i in todo.tolist():
+            if not (self._put(int(firsts[i]), int(fps[i])) or self._put(int(seconds[i]), int(fps[i]))):
+                self._kick(int(firsts[i]), int(fps[i]))
             self.count += 1
 
+    def _fill(self, fps: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Put what its bucket has a free slot for; which were put."""
+        order = np.argsort(places, kind="stable")
+        at = places[order]
+        first = np.concatenate(([True], at[1:] != at[:-1])) if len(at) else np.zeros(0, bool)
+        rank = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+        free = (self.table[at] == 0).sum(axis=1)
+        fits = rank < free
+        slots = np.argsort(self.table[at[fits]] != 0, axis=1, kind="stable")  # free ones first
+        self.table[at[fits], slots[np.arange(len(slots)), rank[fits]]] = fps[order][fits]
+        self.count += int(fits.sum())
+        done = np.zeros(len(at), dtype=bool)
+        done[order[fits]] = True
+        return done
+
     def _put(self, place: int, fp: int) -> bool:
         row = self.table[place]
         for k in range(SLOTS):

@@ -1,8 +1,7 @@
 """Document fingerprints: canonical exact digests, proven by byte comparison.
 
-Everything here is DataFrame code. A text's canonical form is NFKC, then case folded by
-upper and lower case, NFKC again, with each run of white space made one blank and the ends
-stripped. The digest is 128 bits wide: two XXH64 values, the second one seeded by another.
+Everything here is DataFrame code. A text's canonical form is NFKC, then Unicode's full case
+folding, NFKC again, with each run of white space made one blank and the ends stripped. The digest is 128 bits wide: two XXH64 values, the second one seeded by another.
 Texts that share a digest are compared byte by byte; should two different canonical texts
 share one, those after the smallest get ``-1``, ``-2`` ... appended, in byte order. So two
 fingerprints are equal exactly if the canonical texts are. Null texts count as empty.
@@ -24,7 +23,7 @@ BROADCAST_DIGESTS = 100_000
 def canonical(text: Column) -> Column:
     t = common.text_or_empty(text)
     nfkc = lambda c: F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
-    folded = nfkc(F.lower(F.upper(nfkc(t))))
+    folded = nfkc(F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), nfkc(t), F.lit(True)))
     return F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
 
 
@@ -90,33 +89,30 @@ def fingerprints(df: DataFrame, text: str, chars: int = 32) -> DataFrame:
     return common.unpacked(found.withColumn("fingerprint", with_ordinal(F.col("digest"), F.col("ordinal"))), cols, "fingerprint")
 
 
-def successors(docs: DataFrame) -> DataFrame:
-    """Each row of (doc_id, text, ...) with the columns of the row after it as next_*.
+def successors(docs: DataFrame, made: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Each row of (doc_id, text), with the columns ``made`` adds, and those of the row after it as next_*.
 
-    The order is doc_id, nulls first, then text; the last row is followed by the first.
-    Rows meet their successor in range buckets, so the texts are shuffled once. The first
-    row of each bucket is also sent to the bucket before it.
+    The order is doc_id, nulls first, then text; rows of an id that very many share, or
+    without one, are first in the order of the bucket their text's hash names. The last row
+    is followed by the first. Rows meet their successor in range buckets, so the texts are
+    shuffled once. The first row of each bucket is also sent to the bucket before it.
     """
     spark = docs.sparkSession
-    bucket, _ = common.range_bucket(docs, "doc_id", 4 * common.n_partitions(spark))
-    cols = docs.columns
-    placed = docs.withColumn("_b", bucket).withColumn("_ghost", F.lit(0))
-    firsts = sorted(  # one row for each bucket
-        (r["_b"], r["k"]["doc_id"])
-        for r in placed.groupBy("_b").agg(F.min(F.struct("doc_id")).alias("k")).collect()
-    ) if not docs.isEmpty() else []
-    moved = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
+    bucket, _ = common.range_bucket(docs, "doc_id", 4 * common.n_partitions(spark), F.xxhash64("text"))
+    placed = docs.withColumn("_b", bucket)
+    least = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("_first"), F.count("doc_id").alias("_ids"))
+    # a bucket with nulls begins with one
+    least = least.select("_b", F.when(F.col("_ids") == F.col("_n"), F.col("_first")).alias("_first")).orderBy("_b")
+    begins = [tuple(r) for r in least.collect()]  # one row for each bucket
     kind = dict(docs.dtypes)["doc_id"]
-    ghosts = spark.createDataFrame(moved, f"_first {kind}, _to int")
-    sent = (
-        docs.join(F.broadcast(ghosts), F.col("doc_id").eqNullSafe(F.col("_first")))
-        .drop("_first")
-        .withColumnRenamed("_to", "_b")
-        .withColumn("_ghost", F.lit(1))
-    )
+    moved = [(b, first, begins[i - 1][0]) for i, (b, first) in enumerate(begins)]
+    known = F.broadcast(spark.createDataFrame(moved, f"_at int, _first {kind}, _to int"))
+    ghosts = placed.join(known, (F.col("_b") == F.col("_at")) & F.col("doc_id").eqNullSafe(F.col("_first")))
+    ghosts = ghosts.groupBy(F.col("_to").alias("_b")).agg(F.min_by("doc_id", "text").alias("doc_id"), F.min("text").alias("text"))
+    ghosts = common.stored(ghosts, "bucket-firsts").withColumn("_ghost", F.lit(1))
     w = Window.partitionBy("_b").orderBy("_ghost", F.col("doc_id").asc_nulls_first(), "text")
-    both = placed.unionByName(sent)
-    for c in cols:
+    both = made(placed.withColumn("_ghost", F.lit(0))).unionByName(made(ghosts))
+    for c in made(docs).columns:
         both = both.withColumn(f"next_{c}", F.lead(c).over(w))
     return both.where("_ghost = 0").drop("_b", "_ghost")
 
@@ -136,10 +132,10 @@ def edit_report(documents: DataFrame, chars: int = 32) -> DataFrame:
     docs = documents.select("doc_id", common.text_or_empty(F.col("text")).alias("text"))
 
     def rows(extra: Callable[[Column, Column], dict[str, Column]]) -> DataFrame:
-        keyed = docs.withColumn("d", digest(canonical(F.col("text")), chars)).withColumn(
+        keyed = lambda df: df.withColumn("d", digest(canonical(F.col("text")), chars)).withColumn(
             "n_chars", F.length("text").cast("long")
         )
-        pairs = successors(keyed).withColumn("e_text", edited(F.col("text"), F.col("n_chars"), F.col("next_text")))
+        pairs = successors(docs, keyed).withColumn("e_text", edited(F.col("text"), F.col("n_chars"), F.col("next_text")))
         e = canonical(F.col("e_text"))
         return pairs.select(
             "doc_id", "n_chars", F.sha2("e_text", 256).alias("edited_sha256"), "d",

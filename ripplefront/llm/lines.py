@@ -5,9 +5,9 @@ XXH3. The exact table is a ledger of postings (key, document, +1 or -1): a docum
 added writes +1 for each of its distinct keys, one that is taken away writes -1. A key's
 reference count is the sum, its last holder the largest document with a sum above zero.
 Sharded cuckoo filters hold the keys with enough references to be dropped; when documents
-come or go only the keys that pass the threshold either way are inserted or deleted. Lines
-are tested against the filters where texts are read, and only those that may be dropped are
-joined with the exact table, which decides.
+come or go only the keys that pass the threshold either way are inserted or deleted. A
+text's keys are sent to their shard's tasks, which load that one filter; only the keys that
+may be dropped go on to be joined with the exact table, which decides.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from . import common
 from .cuckoo import CuckooFilter, Full
 
-#: Filters of more bytes than this in total aren't read into workers; all keys are joined.
-FILTER_BYTES = 64 << 20
+#: A shard's lookups are dealt to so many tasks, by document, so that a line that a great share
+#: of all documents hold doesn't go to one task.
+SPREAD = 64
 KEYS = "hi long, lo long"
 
 
@@ -48,9 +49,10 @@ def _halves(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class LineStore:
     """The ledger, and the filters of the keys held by at least ``min_docs`` documents.
 
-    A row is a document; it is known by its doc_id, so add each id once. Null texts are one
-    empty line, null ids are a document each that is never the largest holder. Columns other
-    than doc_id and text are ignored when adding and kept when rewriting.
+    A row is a document, whatever its id: rows that share one count each, and all rows of the
+    largest id that holds a key keep its lines. Null texts are one empty line; rows without an
+    id count, but are never the largest holder, so where no holder has an id nothing is lost.
+    Columns other than doc_id and text are ignored when adding and kept when rewriting.
     """
 
     def __init__(self, spark: SparkSession, folder: str, min_docs: int = 3, least_chars: int = 20):
@@ -169,18 +171,12 @@ class LineStore:
         import pyarrow as pa
 
         folder, filters, shards, least = self.folder, dict(self.filters), self.shards, self.least_chars
-        use = sum(n for _, n in filters.values()) <= FILTER_BYTES
         source = docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"),
             common.text_or_empty(F.col("text")).cast("binary").alias("text"),
         )
 
-        def run(batches):
-            fs, root = common.open_uri(folder)
-            loaded = {}
-            for s, (name, _) in filters.items() if use else ():
-                with fs.open_input_stream(f"{root}/{name}") as f:
-                    loaded[s] = CuckooFilter.from_bytes(f.read())
+        def keyed(batches):
             for b in common.slices(batches, "text"):
                 found, counts = [], []
                 for t in b.column("text").to_pylist():
@@ -188,23 +184,32 @@ class LineStore:
                     found += keys
                     counts.append(len(keys))
                 hi, lo = _halves(found)
-                row = np.repeat(np.arange(b.num_rows), counts)
-                keep = np.ones(len(hi), dtype=bool)
-                if use:
-                    keep[:] = False
-                    shard = np.mod(hi, shards)
-                    order = np.argsort(shard, kind="stable")
-                    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-                    for s, filt in loaded.items():
-                        at = order[cuts[s] : cuts[s + 1]]
-                        keep[at] = filt.contains(hi[at].view(np.uint64))
-                at = pa.array(row[keep])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(at), b.column("text_key").take(at), pa.array(hi[keep]), pa.array(lo[keep])],
-                    names=["doc_id", "text_key", "hi", "lo"],
-                )
-
-        return source.mapInArrow(run, f"doc_id long, text_key long, {KEYS}")
+                shard = np.mod(hi, shards).astype(np.int32)
+                at = pa.array(np.repeat(np.arange(b.num_rows), counts))
+                cols = [pa.array(shard), b.column("doc_id").take(at), b.column("text_key").take(at), pa.array(hi), pa.array(lo)]
+                yield pa.RecordBatch.from_arrays(cols, names=["shard", *names])
+
+        def tested(batches):
+            fs, root = common.open_uri(folder)
+            held, filt = None, None
+            for b in batches:
+                shard, hi = b.column("shard").to_numpy(), b.column("hi").to_numpy()
+                keep = np.zeros(len(hi), dtype=bool)
+                for s in np.unique(shard).tolist():  # sorted by shard: one filter at a time
+                    if s not in filters:
+                        continue
+                    if s != held:
+                        with fs.open_input_stream(f"{root}/{filters[s][0]}") as f:
+                            held, filt = s, CuckooFilter.from_bytes(f.read())
+                    at = np.flatnonzero(shard == s)
+                    keep[at] = filt.contains(hi[at].view(np.uint64))
+                kept = b.filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([kept.column(c) for c in names], names=names)
+
+        names, ddl = ["doc_id", "text_key", "hi", "lo"], f"doc_id long, text_key long, {KEYS}"
+        keys = source.mapInArrow(keyed, f"shard int, {ddl}")
+        dealt = keys.repartition(common.n_partitions(self.spark), "shard", F.pmod("text_key", F.lit(SPREAD)))
+        return dealt.sortWithinPartitions("shard").mapInArrow(tested, ddl)
 
     def dropped(self, docs: DataFrame) -> DataFrame:
         """(doc_id, text_key, keys): the keys that a document's text loses."""

@@ -72,11 +72,12 @@ def copies(sized: DataFrame, seed: int = 7, **mix) -> DataFrame:
 
     A document's place in its source is the count of rows in the blocks before it plus its
     place within its block; a block is one size class in one range of doc_id, so no source,
-    however large, is sorted in one task. Null ids sort first; rows with equal ids and
-    sizes are alike. A source without words has target 0 and no copies.
+    however large, is sorted in one task. Null ids sort first, and such ids as very many rows
+    share are dealt to their blocks by a hash of the size; rows with equal ids and sizes are
+    alike. A source without words has target 0 and no copies.
     """
     spark = sized.sparkSession
-    bucket, _ = common.range_bucket(sized, "doc_id", 4 * common.n_partitions(spark))
+    bucket, _ = common.range_bucket(sized, "doc_id", 4 * common.n_partitions(spark), F.xxhash64("size"))
     placed = common.stored(sized.withColumn("cls", size_class(F.col("size"))).withColumn("b", bucket), "mix-sizes")
     block = ["source", "cls", "b"]
     blocks = placed.groupBy(*block).agg(F.count(F.lit(1)).alias("n"))

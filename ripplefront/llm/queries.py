@@ -73,20 +73,21 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op7_line_dedup"] = r"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT row_id, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d
 ), k AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
 ), g AS (
-  SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+  SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT row_id) >= 3
 ), m AS (
-  SELECT k.*, g.last IS NOT NULL AND k.doc_id <> g.last AS lost FROM k LEFT JOIN g ON k.key = g.key
+  SELECT k.*, g.last IS NOT NULL AND k.doc_id IS DISTINCT FROM g.last AS lost FROM k LEFT JOIN g ON k.key = g.key
 )
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE lost) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY row_id, doc_id
 """
 
 

@@ -11,8 +11,10 @@ least SHARED listed ones, or all they share. Any order does; frequent shingles,
 sample, come last, so that lists stay short. Pairs that share so many, and that sizes and
 places don't rule out, are compared.
 
-Only components count: pairs that the SimHash links, or in long lists neighbours by size,
-leave in one component aren't tried again.
+Only components count: pairs already in one component aren't tried again. So a group of near
+copies isn't all pairs: first the SimHash links join its members; then, in long lists, each
+entry is compared with the next few by size that are in other components, ROUNDS times; what
+is in different components after that is compared in full.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, simhash
@@ -31,8 +33,8 @@ from .decontaminate import SHINGLE_WORDS, THRESHOLD, among, shingles, word_codes
 SAMPLE_DOCS, FREQUENT = 20_000, 4
 #: Listed shingles that a pair has to share.
 SHARED = 6
-#: Members from which a list is long.
-LONG = 200
+#: Members from which a list is long; how often, and with how many others, its members are compared first.
+LONG, ROUNDS, NEXT = 32, 3, 8
 
 
 def shingle_sets(texts: list[str]):
@@ -96,8 +98,11 @@ def _lists(batches, names: list[str]):
         yield held
 
 
-def _tried(lists: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs in different classes that share enough and may reach the threshold."""
+def _tried(lists: DataFrame, threshold: float, most: int | None = None) -> DataFrame:
+    """(a, b): pairs in different classes that share enough and may reach the threshold.
+
+    With ``most``, only so many partners of each entry in each list, the next by size.
+    """
     import pyarrow as pa
 
     names = ["key", "g", "n", "i", "class"]
@@ -115,6 +120,8 @@ def _tried(lists: DataFrame, threshold: float) -> DataFrame:
                 need = np.ceil(threshold / (1 + threshold) * (n[k] + n[near]) - 1e-6).astype(np.int32)
                 # of what stands before the shared shingle, and from it on, the shorter part at most
                 ok = (c[near] != c[k]) & (np.minimum(i[k], i[near]) + np.minimum(n[k] - i[k], n[near] - i[near]) >= need)
+                if most is not None:
+                    ok &= np.cumsum(ok) <= most
                 if ok.any():
                     b = g[near][ok]
                     out.append((np.minimum(g[k], b), np.maximum(g[k], b), np.minimum(need[ok], SHARED)))
@@ -129,15 +136,22 @@ def _tried(lists: DataFrame, threshold: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b", "need"])
 
     dealt = lists.select(*names).repartition(common.n_partitions(lists.sparkSession), "key").sortWithinPartitions("key")
-    pairs = dealt.mapInArrow(run, "a long, b long, need int").groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("shared"))
-    return pairs.where("shared >= need").select("a", "b")
+    pairs = dealt.mapInArrow(run, "a long, b long, need int")
+    if most is not None:  # not all shared shingles name the pair
+        return pairs.select("a", "b").distinct()
+    counted = pairs.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("shared"))
+    return counted.where("shared >= need").select("a", "b")
 
 
 def _verified(pairs: DataFrame, entries: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """The pairs that reach the threshold; the texts of their entries are fetched."""
+    with common.scratch(entries.sparkSession) as keep:
+        return keep(_verify(common.stored(pairs, "similar-pairs"), entries, rows, threshold))
+
+
+def _verify(pairs: DataFrame, entries: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     import pyarrow as pa
 
-    pairs = common.stored(pairs, "similar-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("g")).distinct().join(entries, "g")
     wanted = wanted.select("g", F.col("least.doc_id").alias("id"), F.col("least.x").alias("y"))
     # pairs grow with the input: joined by shuffles at every size
@@ -207,16 +221,15 @@ def representatives(df: DataFrame, doc_id: str, text: str, threshold: float = TH
     dealt = postings.select("key", "g", "n", "i").repartition(common.n_partitions(spark), "key").sortWithinPartitions("key")
     lists = common.stored(dealt.mapInArrow(_joined(several), "key long, g long, n int, i int, size int"), "similar-lists")
 
-    order = Window.partitionBy("key").orderBy("n", "g")
-    chain = lists.where(F.col("size") > LONG).select("g", F.lead("g").over(order).alias("h"), "n", F.lead("n").over(order).alias("m"))
-    chain = chain.where(F.col("n") >= F.lit(threshold) * F.col("m") - F.lit(1e-6))
-    chain = chain.select(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b"))
-    near = _verified(chain.unionByName(_hashed(entries)).distinct(), entries, rows, threshold)
-    classes = components(near, "a", "b").select(F.col("node").alias("g"), F.col("component").alias("class"))
-    classes = common.stored(classes, "similar-classes")
-    apart = lists.join(classes, "g", "left").withColumn("class", F.coalesce("class", "g"))
-    links = _verified(_tried(apart, threshold), entries, rows, threshold)
-    found_in = components(links.unionByName(near), "a", "b").withColumnRenamed("node", "g")
+    links = _verified(_hashed(entries).distinct(), entries, rows, threshold)
+    long = lists.where(F.col("size") > LONG)
+    for _ in range(0 if long.isEmpty() else ROUNDS):
+        more = _verified(_tried(_classed(long, links), threshold, NEXT), entries, rows, threshold)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+    links = links.unionByName(_verified(_tried(_classed(lists, links), threshold), entries, rows, threshold))
+    found_in = components(links, "a", "b").withColumnRenamed("node", "g")
 
     least = entries.join(found_in, "g", "left").groupBy(F.coalesce("component", "g").alias("component")).agg(F.min("least").alias("least"))
     won = least.select(F.col("least.doc_id").alias("id"), F.col("least.x").alias("y"))
@@ -224,6 +237,13 @@ def representatives(df: DataFrame, doc_id: str, text: str, threshold: float = TH
     return copies.join(won.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("x") == F.col("y")), "left_semi")
 
 
+def _classed(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """The lists with the component, so far, of each entry as ``class``."""
+    classes = components(links, "a", "b").select(F.col("node").alias("g"), F.col("component").alias("class"))
+    classes = common.stored(classes, "similar-classes")
+    return lists.join(classes, "g", "left").withColumn("class", F.coalesce("class", "g"))
+
+
 def _hashed(entries: DataFrame) -> DataFrame:
     """(a, b): entries whose SimHashes are equal or linked, as a forest."""
     first = common.stored(entries.groupBy("fp").agg(F.min("g").alias("first")), "similar-fps")

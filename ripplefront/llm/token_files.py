@@ -207,7 +207,8 @@ def write_token_files(
     Manifest: shard, path, n_docs, n_ids, start (ids in the shards before), in shard order.
     Documents are encoded where they are read; their ids, a few bytes each, are sent to
     shards cut by ranges of doc_id. Null ids come first, repeated ids stay repeated, in the
-    order of their ids' bytes; null texts are empty: the end id alone. Other columns are
+    order of their ids' bytes (where very many rows share an id, of their shard first, which a
+    hash of the text names); null texts are empty: the end id alone. Other columns are
     ignored; an empty table writes no file. A worker encodes ``slice_bytes`` of texts at
     once: more take more memory and less time. A file a lost or repeated task left behind isn't
     in the manifest, so it is never read.
@@ -215,7 +216,8 @@ def write_token_files(
     import pyarrow as pa
 
     spark = df.sparkSession
-    bucket, n_shards = common.range_bucket(df.select(doc_id), doc_id, common.n_partitions(spark))
+    tie = F.xxhash64(common.text_or_empty(F.col(text)))
+    bucket, n_shards = common.range_bucket(df, doc_id, common.n_partitions(spark), tie)
     source = df.select(
         F.col(doc_id).cast("long").alias("doc_id"), bucket.alias("shard"), common.text_or_empty(F.col(text)).alias("_text")
     )

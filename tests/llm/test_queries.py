@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -112,7 +113,7 @@ def canonical(t):
     import unicodedata
 
     n = lambda x: unicodedata.normalize("NFKC", x)
-    return re.sub(r"\s+", " ", n(n(t).upper().lower())).strip(" ")
+    return re.sub(r"\s+", " ", n(n(t).casefold())).strip(" ")
 
 
 def test_op1(spark, sf):
@@ -281,7 +282,7 @@ def lines_wanted(rows, least=20, n=3):
         for k in {key(x) for x in t.split("\n")}:
             if len(k) >= least:
                 held.setdefault(k, []).append(d)
-    last = {k: max(x for x in v if x is not None) for k, v in held.items() if len(v) >= n}
+    last = {k: max(x for x in v if x is not None) for k, v in held.items() if len(v) >= n and any(x is not None for x in v)}
     out = []
     for d, t in rows:
         all_ = t.split("\n")
@@ -311,13 +312,80 @@ def test_lines_come_and_go(spark, sf, tmp_path, monkeypatch):
     assert sum(r["n_dropped"] for r in store.rewrite(some, True).collect()) == 0
     store.add(docs.where("doc_id >= 8 AND doc_id <> 9"))
     assert as_rows(store.rewrite(docs, True).collect()) == lines_wanted(rows)
-    monkeypatch.setattr(lines, "FILTER_BYTES", -1)  # as if the filters were too large to load
+    monkeypatch.setattr(lines, "SPREAD", 1)
     assert as_rows(store.rewrite(docs, True).collect()) == lines_wanted(rows)
     texts = {r["doc_id"]: r["text"] for r in store.rewrite(docs).collect()}
     assert store.rewrite(docs).columns == docs.columns
     assert {d: hashlib.sha256(t.encode()).hexdigest() for d, t in texts.items()} == {r[0]: r[3] for r in lines_wanted(rows)}
 
 
+def test_repeated_and_null_ids_are_rows_of_their_own(spark, empty, tmp_path_factory):
+    import duckdb
+
+    a, b, c = "a line that is long enough to count", "another line that is long enough", "and a third line that is long enough"
+    rows = [(1, f"{a}\n{b}"), (1, a), (2, a), (2, f"{a}\n{c}"), (None, f"{b}\n{c}"), (None, b), (None, c), (None, c + " here"), (None, c + " here"), (None, c + " here")]
+    d = str(tmp_path_factory.mktemp("shared-ids"))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{d}/documents.parquet")
+    found = as_rows(got(spark, "op7_line_dedup", d))
+    assert found == lines_wanted(rows) and [r[2] for r in found if r[0] == 2] == [0, 0] and sum(r[2] for r in found) == 6
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet/*.parquet'")
+    cur = con.execute(queries.ORACLE["op7_line_dedup"])
+    assert sorted(cur.fetchall(), key=str) == found
+
+
+ODD_IDS = {
+    "hashed": lambda i: (i * 0x9E3779B97F4A7C15 + 12345) % 2**64 - 2**63,
+    "extreme": lambda i: [-(2**63), 2**63 - 1, 0, -1, None][i % 5],
+    "constant": lambda i: 7,
+    "null": lambda i: None,
+    "a third null": lambda i: None if i % 3 == 0 else i,
+}
+
+
+@pytest.mark.parametrize("kind", list(ODD_IDS))
+def test_odd_ids(spark, kind, tmp_path_factory):
+    from tokenizers import Tokenizer
+
+    r = random.Random(9)
+    rows = [(ODD_IDS[kind](i), prose(r, "en", r.choice([0, 3, 9, 9, 40])), f"s{i % 2}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for n in (1, 16, 2000, 40_000):
+        b, total = common.range_bucket(df, "doc_id", n, F.xxhash64("text"))
+        at = sorted((x["doc_id"] is not None, x["doc_id"] or 0, x["b"]) for x in df.withColumn("b", b).collect())
+        assert all(0 <= x[2] < total for x in at) and total <= 2 * n + 66
+        assert [x[2] for x in at] == sorted(x[2] for x in at)  # monotone, nulls first
+        if n == 2000:  # an id that many rows share, or none, is dealt to many buckets
+            assert len({x[2] for x in at}) > 60 or kind == "extreme" and len({x[2] for x in at}) > 30
+    d = str(tmp_path_factory.mktemp("ids"))
+    df.write.parquet(f"{d}/documents.parquet")
+    ids = [x[0] for x in rows]
+    found = got(spark, "op1_fingerprints", d)
+    assert sorted((x["doc_id"] for x in found), key=str) == sorted(ids, key=str)
+    # following the rows' successors goes through all of them: every text's start is the edit of one other
+    shas = sorted(x["edited_sha256"] for x in found)
+    if kind == "hashed":
+        order = sorted(rows)
+        want = [t[: len(t) - len(t) // 2] + order[(i + 1) % len(order)][1][: len(t) // 2] for i, (_, t, _) in enumerate(order)]
+        assert shas == sorted(hashlib.sha256(t.encode()).hexdigest() for t in want)
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    counts = sorted(((x[0], len(t.encode(x[1], add_special_tokens=False).ids) + 1) for x in rows), key=str)
+    read = got(spark, "op4_token_files", d)
+    assert sorted(((x["doc_id"], x["n_tokens"]) for x in read), key=str) == counts
+    upto = 0
+    in_file = sorted(read, key=lambda x: x["start"])
+    for x in in_file:
+        assert x["start"] == upto
+        upto += x["n_tokens"]
+    key = [(x["doc_id"] is not None, x["doc_id"] or 0) for x in in_file]
+    assert key == sorted(key)
+    mix = got(spark, "op8_mixing", d)
+    assert len(mix) == 200 and all(0 <= x["taken"] <= 2 * x["size"] for x in mix)
+    for size, target in {(x["source_size"], x["target"]) for x in mix}:
+        assert abs(sum(x["taken"] for x in mix if x["source_size"] == size) / target - 1) < 0.1
+    assert sorted(map(tuple, mix), key=str) == sorted(map(tuple, got(spark, "op8_mixing", d)), key=str)
+
+
 def test_op8(spark, sf):
     found = got(spark, "op8_mixing", sf)
     rows = {(r["doc_id"], r["text"]): r["source"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
