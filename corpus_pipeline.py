@@ -50,8 +50,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     JSON. Null and empty texts are alike. An empty table stays empty.
     """
     cols = docs.columns
-    won = similar.representatives(docs, "doc_id", "text").select(F.col("doc_id").alias("id"), F.col("x").alias("y"), "copies")
-    kept = common.stored(won, "kept-rows")
+    with common.scratch(spark) as keep:
+        won = similar.representatives(docs, "doc_id", "text").select(F.col("doc_id").alias("id"), F.col("x").alias("y"), "copies")
+        kept = keep(common.stored(won, "kept-rows"))
     text = F.coalesce("text", F.lit(""))
     rows = common.packed(docs, cols, F.col("doc_id"), F.xxhash64(text).alias("x"))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("x") == F.col("y"))
@@ -119,9 +120,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; what a stage left behind goes once the next is written."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        last = docs
         with common.scratch(spark) as keep:
-            docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
-            keep(docs)
+            docs = keep(common.stored(stage(spark, last, sf_dir), f"stage-{name}"))
+        if hasattr(last, "scratch"):
+            common.drop_stored(last)
     return docs
 
 
