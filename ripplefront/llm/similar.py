@@ -7,9 +7,9 @@ verified exactly. At a similarity of 0.8 about 10 of 64 bits differ, which may s
 bytes, so no count of shared bytes is guaranteed there: what lies beyond the index's radius
 is found by a prefix filter. Each entry lists the first of its shingles in an order all
 entries keep: of n shingles, so many that two entries as similar as the threshold share at
-least SHARED listed ones, or all they share. Any order does; frequent shingles, told from a
-sample, come last, so that lists stay short. Pairs that share so many, and that sizes and
-places don't rule out, are compared.
+least SHARED listed ones, and all but as many as a similar pair of their sizes may lack. Any
+order does; frequent shingles, told from a sample, come last, so that lists stay short. Pairs
+that share so many, and that sizes and places don't rule out, are compared.
 
 Only components count: pairs already in one component aren't tried again. So a group of near
 copies isn't all pairs: first the SimHash links join its members; then, in long lists, each
@@ -19,8 +19,6 @@ is in different components after that is compared in full.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +32,7 @@ SAMPLE_DOCS, FREQUENT = 20_000, 4
 #: Listed shingles that a pair has to share.
 SHARED = 6
 #: Members from which a list is long; how often, and with how many others, its members are compared first.
-LONG, ROUNDS, NEXT = 32, 3, 8
+LONG, ROUNDS, NEXT = 200, 1, 8
 
 
 def shingle_sets(texts: list[str]):
@@ -53,9 +51,14 @@ def shingle_sets(texts: list[str]):
         start = end
 
 
+def n_listed(n, threshold: float):
+    """How many of n shingles are listed."""
+    return np.minimum(n, n - np.ceil(threshold * np.asarray(n) - 1e-9) + SHARED).astype(np.int64)
+
+
 def listed(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray, threshold: float) -> np.ndarray:
     """The first shingles in the common order, as many as the threshold asks for."""
-    take = min(len(own), len(own) - math.ceil(threshold * len(own) - 1e-9) + SHARED)
+    take = int(n_listed(len(own), threshold))
     late = among(own, frequent)
     if not late.any():
         return own[:take]
@@ -115,6 +118,7 @@ def _tried(lists: DataFrame, threshold: float, most: int | None = None) -> DataF
             order = np.argsort(n, kind="stable")
             g, n, i, c = g[order], n[order].astype(np.int64), i[order].astype(np.int64), c[order]
             tops = np.searchsorted(n, n / threshold + 1e-6, side="right")
+            spare = n_listed(n, threshold) - n
             for k, top in enumerate(tops.tolist()):
                 near = slice(k + 1, top)
                 need = np.ceil(threshold / (1 + threshold) * (n[k] + n[near]) - 1e-6).astype(np.int32)
@@ -124,7 +128,9 @@ def _tried(lists: DataFrame, threshold: float, most: int | None = None) -> DataF
                     ok &= np.cumsum(ok) <= most
                 if ok.any():
                     b = g[near][ok]
-                    out.append((np.minimum(g[k], b), np.maximum(g[k], b), np.minimum(need[ok], SHARED)))
+                    # what the one whose list ends first may lack is less than it lists
+                    least = need[ok] + np.minimum(spare[k], spare[near][ok]).astype(np.int32)
+                    out.append((np.minimum(g[k], b), np.maximum(g[k], b), least))
                     held += len(b)
                 if held > 1 << 16:
                     yield _pairs(out)
