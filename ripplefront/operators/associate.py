@@ -12,41 +12,50 @@ from .facts import Facts
 SCHEMA = ["config_key", "fqn"]
 
 
-#: Characters of a path's longest segment by which targets are looked up.
+#: At most so many characters of a path's longest segment look its targets up.
 PROBE = 3
 
 
+def _named(path):
+    return F.filter(F.split(F.lower(path), "/"), lambda s: (s != "") & ~(s.startswith("{") & s.endswith("}")))
+
+
 def _probed(endpoints: DataFrame) -> DataFrame:
-    """Endpoints with ``probe``: the start of their longest named segment, null if that is short."""
-    named = F.filter(F.split(F.lower("path"), "/"), lambda s: (s != "") & ~(s.startswith("{") & s.endswith("}")))
-    longest = F.array_max(F.transform(named, lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))
-    return endpoints.withColumn("_l", longest).select(
-        "method", "path", F.when(F.col("_l.n") >= PROBE, F.substring(F.col("_l.s"), 1, PROBE)).alias("probe")
-    )
+    """Endpoints with ``probe``: the start of their longest named segment, null if they have none."""
+    longest = F.array_max(F.transform(_named("path"), lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))
+    return endpoints.withColumn("_l", longest).select("method", "path", F.substring(F.col("_l.s"), 1, PROBE).alias("probe"))
 
 
 def _grams(targets: DataFrame) -> DataFrame:
-    """(callee, probe): each target with every run of PROBE characters in it, in lower case."""
-    low, last = F.lower("callee"), F.length("callee") - (PROBE - 1)
-    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(low, i, F.lit(PROBE)))
-    return targets.where(last >= 1).select("callee", F.explode(F.array_distinct(runs)).alias("probe"))
+    """(callee, probe): each target with every run of up to PROBE characters in it, in lower case."""
+    low, size = F.lower("callee"), F.length("callee")
+
+    def runs(n: int):
+        starts = F.when(size >= n, F.sequence(F.lit(1), size - (n - 1)))
+        return F.coalesce(F.transform(starts, lambda i: F.substring(low, i, F.lit(n))), F.array().cast("array<string>"))
+
+    every = F.concat(*[runs(n) for n in range(1, PROBE + 1)])
+    return targets.select("callee", F.explode(F.array_distinct(every)).alias("probe"))
 
 
 def http_consumers(config_items: DataFrame, calls: DataFrame) -> DataFrame:
     """(method, path, fqn): methods with a client call whose target holds every path segment.
 
     Distinct targets of client calls meet an endpoint on the first characters of its longest
-    segment, which they must hold; the whole test follows. Endpoints whose segments are all
-    shorter than that, a handful if any, are compared with every such target.
+    segment, which they must hold; the whole test follows. Every method with a client call
+    meets an endpoint without any named segment, such as ``/`` or ``/{id}``.
     """
     endpoints = config_items.where("kind = 'http'").select(F.col("http_method").alias("method"), F.col("value").alias("path")).distinct()
     clients = calls.where(fn.is_http_client(F.col("callee")))
     targets = clients.select("callee").distinct()
     probed, holds = _probed(endpoints), fn.path_matches(F.col("path"), F.col("callee"))
-    hit = _grams(targets).join(probed.where("probe IS NOT NULL"), "probe").where(holds).select("method", "path", "callee")
-    short = targets.join(probed.where("probe IS NULL"), holds).select("method", "path", "callee")
-    hit = hit.unionByName(short).distinct()
-    return clients.join(hit, "callee").select("method", "path", F.col("caller").alias("fqn")).distinct()
+    hit = _grams(targets).join(probed.where("probe IS NOT NULL"), "probe").where(holds).select("method", "path", "callee").distinct()
+    found = clients.join(hit, "callee").select("method", "path", F.col("caller").alias("fqn"))
+    # all client methods times the few forms of a path without a name: that is the result itself
+    free = probed.where("probe IS NULL").agg(F.collect_set(F.struct("method", "path")).alias("e"))
+    callers = clients.select(F.col("caller").alias("fqn")).distinct()
+    bare = callers.join(F.broadcast(free)).select("fqn", F.explode("e").alias("e")).select("e.method", "e.path", "fqn")
+    return found.unionByName(bare).distinct()
 
 
 def http(config_items: DataFrame, calls: DataFrame) -> DataFrame:

@@ -47,6 +47,17 @@ def all_providers(facts: Facts) -> DataFrame:
     return facts.http.where("NOT is_feign_client").select(ep.alias("resource"), "fqn").distinct()
 
 
+def members(active: DataFrame, passive: DataFrame) -> DataFrame:
+    """(resource, side, fqn) of every resource that both sides share: all pairs, unexpanded.
+
+    Each source of a resource meets each of its targets. The rows are as many as methods that
+    touch such a resource, however many share it; ``pairs`` expands them.
+    """
+    both = active.select("resource", "fqn", F.lit("source").alias("side")).unionByName(passive.select("resource", "fqn", F.lit("target").alias("side")))
+    shared = both.groupBy("resource").agg(F.count_distinct("side").alias("n")).where("n = 2").select("resource")
+    return both.join(shared, "resource", "left_semi").select("resource", "side", "fqn").distinct()
+
+
 def pairs(active: DataFrame, passive: DataFrame) -> DataFrame:
     """(resource, source, target): the methods that share a resource."""
     a = active.select("resource", F.col("fqn").alias("source"))

@@ -56,53 +56,107 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out.agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in tables])
 
 
+def get_node(nodes: DataFrame, node: str) -> DataFrame:
+    """The node of an id: one row or none."""
+    return nodes.where(F.col("id") == F.lit(node))
+
+
 def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return row_counts({"node_count": nodes, "edge_count": edges})
 
 
-def cycles(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def cycles(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(id, component): strongly connected components of two nodes or more, by their least id.
 
-    Nodes without a way in or out are trimmed away, then every node takes the least label
-    that reaches it; the nodes that also reach the label's own node back, within that
-    label, are its component and leave. What is left goes round again.
+    Nodes without a way in or out are in no cycle and are trimmed. A node with one way in and
+    one way out is in a cycle just if the chain it lies on is: chains are found by pointer
+    jumping, as are rings of nothing but such nodes, and each chain becomes one edge. So
+    paths, trees and rings of any length go in a logarithmic number of rounds. In what is
+    left each node takes the least label that reaches it, and the nodes that reach the
+    label's own node back, within that label, are its component and leave. Reaching
+    ``max_rounds`` is an error, never a smaller result.
     """
-    left = cut(edges.where("src != dst").select("src", "dst").distinct())
-    out = None
+    every = edges.where("src != dst").select("src", "dst").distinct()
+    left = cut(every)
+    names = left.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    found = names.select("id", F.col("id").alias("component")).limit(0)
+    chains: list[DataFrame] = []
     for _ in range(max_rounds):
-        left = _trimmed(left, max_rounds)
         if left.isEmpty():
             break
-        label = _spread(left, max_rounds)
-        inside = left.join(label.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(
-            label.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst"
-        )
-        inside = cut(inside.where("a = b").select("src", "dst", F.col("a").alias("label")))
-        found = _back(inside, label, max_rounds)
-        many = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
-        part = found.join(many, "component", "left_semi").select("id", "component")
-        out = part if out is None else out.unionByName(part)
-        gone = found.select("id")
-        rest = left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
-        left = cut(rest.select("src", "dst"))
-    if out is None:
-        return left.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
-    # a component is named by its least member, which its first label already is
-    least = out.groupBy("component").agg(F.min("id").alias("least"))
-    return out.join(least, "component").select("id", F.col("least").alias("component"))
-
-
-def _trimmed(edges: DataFrame, rounds: int) -> DataFrame:
-    n = edges.count()
+        before = left.count()
+        left = _trimmed(left)
+        left, chain, rings = _compressed(left, max_rounds)
+        chains.append(chain)
+        found = found.unionByName(rings)
+        if left.count() < before:
+            continue
+        part, left = _parted(left, max_rounds)
+        found = found.unionByName(part)
+    else:
+        raise RuntimeError(f"cycles did not settle in {max_rounds} rounds")
+    # nodes on a chain are in the component of its ends, if that is one; the last chains come first
+    for chain in reversed(chains):
+        ends = chain
+        for end in ("first", "last"):
+            of = found.select(F.col("id").alias(end), F.col("component").alias(f"{end}_component"))
+            ends = ends.join(of, end, "left").withColumn(f"{end}_component", F.coalesce(f"{end}_component", end))
+        inside = ends.where("first_component = last_component").select("id", F.col("first_component").alias("component"))
+        hubs = inside.select(F.col("component").alias("id"), "component")  # a chain back to its own start
+        found = cut(found.unionByName(inside).unionByName(hubs).distinct())
+    many = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1")
+    return found.join(many, "component").select("id", F.col("least").alias("component"))
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Without the edges from nodes nothing leads to, and to nodes that lead nowhere."""
+    kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+    return cut(kept.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+
+
+def _compressed(edges: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, chain, rings): each chain as one edge; (id, first, last) of its nodes; whole rings found."""
+    one_in = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("before")).where("n = 1")
+    one_out = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("after")).where("n = 1")
+    links = cut(one_in.select("id", "before").join(one_out.select("id", "after"), "id"))
+    jumps, ahead = links.select("id", "before", "after", F.col("id").alias("least")), None
     for _ in range(rounds):
-        kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        kept = cut(kept.join(kept.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        m = kept.count()
-        edges = kept
-        if m == n:
+        nxt = jumps.select(F.col("id").alias("after"), F.col("after").alias("after_2"), F.col("least").alias("least_2"))
+        prev = jumps.select(F.col("id").alias("before"), F.col("before").alias("before_2"))
+        far = jumps.join(nxt, "after", "left").join(prev, "before", "left")
+        least = F.least("least", "least_2")  # of what the jump passes over
+        jumps = cut(far.select(
+            "id", F.coalesce("before_2", "before").alias("before"), F.coalesce("after_2", "after").alias("after"), least.alias("least"),
+            F.col("after_2").isNotNull().alias("on"), F.col("before_2").isNotNull().alias("back"), (least < F.col("least")).alias("lower"),
+        ))
+        on = F.col("on") | F.col("back")
+        # paths get done from their ends, each round some; rings never, but their least name settles
+        state = tuple(jumps.agg(F.count(F.when(on, 1)), F.count(F.when(on & F.col("lower"), 1))).first())
+        jumps = jumps.select("id", "before", "after", "least", on.alias("on"))
+        if state[0] == 0 or state == (ahead, 0):
             break
-        n = m
-    return edges
+        ahead = state[0]
+    else:
+        raise RuntimeError(f"chains did not settle in {rounds} rounds")
+    rings = jumps.where("on").select("id", F.col("least").alias("component"))
+    chain = jumps.where("NOT on").select("id", F.col("before").alias("first"), F.col("after").alias("last"))
+    ids = links.select("id")
+    rest = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    ends = chain.where("first != last").select(F.col("first").alias("src"), F.col("last").alias("dst"))
+    return cut(rest.select("src", "dst").unionByName(ends).distinct()), cut(chain), cut(rings)
+
+
+def _parted(left: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(found, edges): the components of the least labels, and the edges between nodes of no such one."""
+    label = _spread(left, rounds)
+    inside = left.join(label.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(
+        label.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst"
+    )
+    inside = cut(inside.where("a = b").select("src", "dst", F.col("a").alias("label")))
+    found = _back(inside, label, rounds)
+    gone = found.select("id")
+    rest = left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    return found, cut(rest.select("src", "dst"))
 
 
 def _spread(edges: DataFrame, rounds: int) -> DataFrame:
@@ -110,14 +164,16 @@ def _spread(edges: DataFrame, rounds: int) -> DataFrame:
     ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     label = cut(ids.select("id", F.col("id").alias("label")))
     edges = kept_by(edges, "src")
+    changed = label
     for _ in range(rounds):
-        sent = edges.join(label, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "label")
-        new = cut(label.unionByName(sent).groupBy("id").agg(F.min("label").alias("label")))
-        changed = new.join(label.withColumnRenamed("label", "old"), "id").where("label < old")
-        done = changed.isEmpty()
-        label = new
-        if done:
+        if changed.isEmpty():
             break
+        sent = edges.join(changed, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "label")
+        least = sent.groupBy("id").agg(F.min("label").alias("new"))
+        all_ = cut(label.join(least, "id", "left").select("id", F.least("label", "new").alias("label"), (F.col("new") < F.col("label")).alias("lower")))
+        label, changed = all_.select("id", "label"), all_.where("lower").select("id", "label")
+    else:
+        raise RuntimeError(f"labels did not settle in {rounds} rounds")
     edges.unpersist()
     return label
 
@@ -129,13 +185,14 @@ def _back(inside: DataFrame, label: DataFrame, rounds: int) -> DataFrame:
     inside = kept_by(inside, "dst", "label")
     for _ in range(rounds):
         step = inside.join(frontier, (F.col("dst") == F.col("id")) & (F.col("label") == F.col("component")))
-        new = step.select(F.col("src").alias("id"), "component").distinct().join(found, ["id", "component"], "left_anti")
-        frontier = cut(new)
+        frontier = cut(step.select(F.col("src").alias("id"), "component").distinct().join(found, ["id", "component"], "left_anti"))
         if frontier.isEmpty():
             break
-        found = cut(found.unionByName(frontier))
+        found = found.unionByName(frontier)
+    else:
+        raise RuntimeError(f"the way back did not end in {rounds} rounds")
     inside.unpersist()
-    return found
+    return cut(found)
 
 
 # -- sinks
@@ -183,6 +240,19 @@ def dot_edges(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", line.alias("line"))
 
 
+def write(nodes: DataFrame, edges: DataFrame, path: str, form: str = "json") -> None:
+    """The graph as text files below ``path``, one line for each node and edge, written by the tasks.
+
+    For graphs that no driver holds: ``nodes`` and ``edges`` are folders of JSON lines or of
+    DOT statements (put ``digraph {`` and ``}`` around them).
+    """
+    lines = {"json": (json_nodes(nodes).select("json"), json_edges(edges)), "dot": (dot_nodes(nodes).select("line"), dot_edges(edges).select("line"))}
+    if form not in lines:
+        raise ValueError(f"no such form: {form}")
+    for name, df in zip(("nodes", "edges"), lines[form], strict=True):
+        df.write.mode("overwrite").text(f"{path}/{name}")
+
+
 def to_dot(nodes: DataFrame, edges: DataFrame) -> str:
     n = [r["line"] for r in dot_nodes(nodes).orderBy("id").toLocalIterator()]
     e = [r["line"] for r in dot_edges(edges).orderBy("line").toLocalIterator()]

@@ -4,8 +4,10 @@ The state of a method in a direction is its smallest depth. A call adds one; cro
 service starts again at zero, which may improve a state that is already known, so a state
 is expanded again whenever its depth gets smaller. A state at the limit is a leaf. The
 result doesn't depend on any order. Each round is two equi-joins of the frontier, which
-alone moves: the steps stay cached in partitions of its keys. It is written to the checkpoint
-folder, so a round survives lost executors and the plan doesn't grow.
+alone moves: the steps stay cached in partitions of its keys. What a round finds, states and
+crossed resources alike, is written once, to the checkpoint folder, and added to what is
+known; now and then that is folded into one table. So a round survives lost executors, its
+writes are in proportion to its frontier, and the plan doesn't grow.
 """
 
 from __future__ import annotations
@@ -20,6 +22,10 @@ from . import cross, resolve
 from .facts import Facts
 
 
+#: Rounds after which what is known is folded into one table.
+FOLD = 8
+
+
 @dataclass
 class TraceConfig:
     max_depth: int = 10
@@ -65,14 +71,14 @@ def reach(spark: SparkSession, seeds: DataFrame, s: Steps, config: TraceConfig,
     start = seeds.select("fqn").distinct()
     if not dirs:
         return start.select("fqn", F.lit("Up").alias("dir"), F.lit(0).alias("depth")).limit(0)
-    best = cut(start.select("fqn", F.explode(F.array(*map(F.lit, dirs))).alias("dir"), F.lit(0).alias("depth")))
+    frontier = cut(start.select("fqn", F.explode(F.array(*map(F.lit, dirs))).alias("dir"), F.lit(0).alias("depth")))
     moves = s.down.select("src", "dst", F.lit("Down").alias("dir")).unionByName(s.up.select("src", "dst", F.lit("Up").alias("dir")))
     moves = kept_by(moves, "src", "dir")
     crossing = s.touched is not None
     if crossing:
         touched, beyond = kept_by(s.touched, "fqn"), kept_by(s.beyond, "resource", "acts")
-        crossed = cut(s.touched.select("resource", "acts").limit(0))
-    frontier, rounds = best, 0
+        crossed = frontier.select(F.col("fqn").alias("resource"), F.lit(True).alias("acts")).limit(0)
+    known, rounds = frontier, 0
     while not frontier.isEmpty():
         if rounds == max_rounds:
             raise RuntimeError(f"the trace did not end in {max_rounds} rounds")
@@ -81,20 +87,32 @@ def reach(spark: SparkSession, seeds: DataFrame, s: Steps, config: TraceConfig,
         found = open_.join(moves, ["src", "dir"]).select(F.col("dst").alias("fqn"), "dir", (F.col("depth") + 1).alias("depth"))
         if crossing:
             here = open_.select(F.col("src").alias("fqn")).distinct().join(touched, "fqn").select("resource", "acts").distinct()
-            new = cut(here.join(crossed, ["resource", "acts"], "left_anti"))
-            crossed = cut(crossed.unionByName(new))
+            new = here.join(crossed, ["resource", "acts"], "left_anti")
             there = new.join(beyond, ["resource", "acts"]).select(F.col("dst").alias("fqn"), _way("acts", "Down", "Up").alias("dir"))
             found = found.unionByName(there.distinct().withColumn("depth", F.lit(0)))
         least = found.groupBy("fqn", "dir").agg(F.min("depth").alias("depth"))
-        old = best.withColumnRenamed("depth", "old")
-        better = least.join(old, ["fqn", "dir"], "left").where("old IS NULL OR depth < old").drop("old")
-        frontier = cut(better)
-        best = cut(best.unionByName(frontier).groupBy("fqn", "dir").agg(F.min("depth").alias("depth")))
+        old = known.select(F.col("fqn").alias("f"), F.col("dir").alias("d"), F.col("depth").alias("old"))
+        same = (F.col("fqn") == F.col("f")) & (F.col("dir") == F.col("d")) & (F.col("old") <= F.col("depth"))
+        better = least.join(old, same, "left_anti")
+        if crossing:  # resources crossed, beside the states
+            better = better.unionByName(new.select(F.col("resource").alias("fqn"), _way("acts", "Down", "Up").alias("dir"), F.lit(-1).alias("depth")))
+        step = cut(better)
+        frontier = step.where("depth >= 0")
+        known = known.unionByName(frontier)
+        if crossing:
+            crossed = crossed.unionByName(step.where("depth < 0").select(F.col("fqn").alias("resource"), (F.col("dir") == "Down").alias("acts")))
+        if rounds % FOLD == 0:
+            known = cut(_least(known))
+            crossed = cut(crossed) if crossing else None
     moves.unpersist()
     if crossing:
         touched.unpersist()
         beyond.unpersist()
-    return best
+    return cut(_least(known))
+
+
+def _least(states: DataFrame) -> DataFrame:
+    return states.groupBy("fqn", "dir").agg(F.min("depth").alias("depth"))
 
 
 def _way(acts: str, down: str, up: str):

@@ -159,6 +159,55 @@ def test_cycles(spark, pairs, want):
     assert components(spark, pairs) == want
 
 
+def test_long_rings_and_paths(spark):
+    ring = [(f"r{i}", f"r{(i + 1) % 5000}") for i in range(5000)]
+    path = [(f"p{i}", f"p{i + 1}") for i in range(5000)]
+    # a hub with two loops through chains, a chain between two cycles, and a way out of a ring
+    odd = [("h", "h1"), ("h1", "h2"), ("h2", "h"), ("h", "k1"), ("k1", "h"), ("x", "y"), ("y", "x"), ("y", "m1"), ("m1", "m2"), ("m2", "v"), ("v", "w"), ("w", "v"), ("r7", "out")]
+    got = components(spark, ring + path + odd)
+    assert got == {"r0": {f"r{i}" for i in range(5000)}, "h": {"h", "h1", "h2", "k1"}, "x": {"x", "y"}, "v": {"v", "w"}}
+
+
+def test_cycles_raise_at_their_limit(spark):
+    with pytest.raises(RuntimeError):
+        graph.cycles(edges_of(spark, [(f"r{i}", f"r{(i + 1) % 12}") for i in range(12)]), max_rounds=2).collect()
+
+
+def plain_components(pairs):
+    nodes, out = {x for p in pairs for x in p}, {}
+    ahead = {n: {b for a, b in pairs if a == n} for n in nodes}
+
+    def reached(n):
+        seen, todo = set(), [n]
+        while todo:
+            for x in ahead[todo.pop()] - seen:
+                seen.add(x)
+                todo.append(x)
+        return seen
+
+    to = {n: reached(n) for n in nodes}
+    for n in nodes:
+        own = {x for x in to[n] if n in to[x]} | {n}
+        if len(own) > 1:
+            out[min(own)] = own
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cycles_of_sparse_random_graphs(spark, seed):
+    r = random.Random(seed)
+    pairs = [(f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(48)] + [(f"c{i}", f"c{i + 1}") for i in range(9)] + [("c9", "n1"), ("n2", "c0")]
+    assert components(spark, pairs) == plain_components(pairs)
+
+
+def test_members_are_the_pairs(spark):
+    f = build(spark, db=[("w1", "Insert", "t"), ("w2", "Update", "t"), ("r1", "Select", "t"), ("w1", "Insert", "u"), ("r1", "Select", "v")])
+    a, p = cross.resources(f)
+    rows = [tuple(x) for x in cross.members(a, p).collect()]
+    pairs = {(r, f1, f2) for r, s1, f1 in rows if s1 == "source" for r2, s2, f2 in rows if s2 == "target" and r2 == r}
+    assert pairs == {tuple(x) for x in cross.pairs(a, p).collect()} == {("db:t", "w1", "r1"), ("db:t", "w2", "r1")}
+
+
 def test_random_cycles_against_closure(spark):
     r = random.Random(3)
     pairs = [(f"n{r.randrange(14)}", f"n{r.randrange(14)}") for _ in range(22)]
