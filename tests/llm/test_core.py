@@ -219,6 +219,53 @@ def test_mixture_finds_both_languages():
     assert language.Model([], np.zeros((language.BUCKETS, 1), np.float32)).predict(["abc"]) == [("und", 0.0, "")]
 
 
+def test_marks_alone_are_no_letters():
+    m = language.Model(["x", "y"], np.full((language.BUCKETS, 2), 0.5, np.float32))
+    found = [p[0] for p in m.predict(["\u0301", "a\u0301", "\u0301\u0302 \u20dd !", "", "1\u0301", "\u0301 b"])]
+    assert [f == "und" for f in found] == [True, False, True, True, True, False]
+
+
+def test_chosen_languages_against_every_set():
+    """The best penalised likelihood over all sets of languages, each fitted to the end."""
+    from itertools import chain, combinations
+
+    rng = np.random.default_rng(4)
+    letters = ["abcdefg", "efghijk", "lmnopqr", "qrstuvw"]
+    vocabulary = [["".join(rng.choice(list(a), 4)) for _ in range(50)] for a in letters]
+    say = lambda k, n: " ".join(rng.choice(vocabulary[k], n))
+    m = language.Model.fitted([(str(k), say(k, 400)) for k in range(4) for _ in range(4)])
+    same = 0
+    for trial in range(24):
+        parts = rng.choice(4, rng.integers(1, 4), replace=False)
+        text = " ".join(say(int(k), int(rng.integers(15, 120))) for k in parts)
+        buckets = language.trigrams([text])[0]
+        u, w = language.distinct(buckets)
+        p = m.table[u].astype(float)
+        price = language.PENALTY * np.log(w.sum() + 1)
+        sets = chain.from_iterable(combinations(range(4), n) for n in range(1, 5))
+        value = {s: language.mixture(p, w, list(s))[1] - price * (len(s) - 1) for s in sets}
+        got = tuple(sorted(language.infer(m.table, buckets)))
+        assert value[got] > max(value.values()) - 0.02 * w.sum(), trial
+        same += value[got] >= max(value.values()) - 1e-6 or got == max(value, key=value.get)
+    assert same >= 23
+
+
+def test_simhash_radius_near_the_threshold():
+    """The share of windows at a similarity of 0.8 to 0.9 whose SimHash lies beyond the radius."""
+    rng = np.random.default_rng(6)
+    lost = tried = 0
+    for n in (10, 20, 40, 100):
+        for _ in range(400):
+            a = rng.integers(0, 2**63, n).astype(np.uint64)
+            b = a.copy()
+            change = rng.choice(n, max(1, n // 10), replace=False)
+            b[change] = rng.integers(0, 2**63, len(change)).astype(np.uint64)
+            if decontaminate.similarity(a, b) >= 0.8:
+                tried += 1
+                lost += int(decontaminate.simhash(a[None])[0] ^ decontaminate.simhash(b[None])[0]).bit_count() > decontaminate.RADIUS
+    assert tried > 1000 and lost <= tried / 1000
+
+
 def test_em_gains_likelihood():
     rng = np.random.default_rng(0)
     p, w = rng.dirichlet(np.ones(50), 3).T, rng.integers(1, 9, 50).astype(float)

@@ -252,6 +252,47 @@ def test_op5(spark, sf):
     assert np.mean(right) > 0.9
 
 
+def test_scores_are_those_of_the_best_window(spark, sf):
+    """A plain forward pass, one window and one word at a time, over every window of some texts."""
+    from ripplefront.llm import gru, words
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    m = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = [t for i, t in documents(spark, sf) if i in (1, 2, 4, 7, 30, 52, 53, 54, 88)]
+    p = {k: v.astype(np.float64) for k, v in m.net.items()}
+
+    def step(h, x, d):
+        k = len(h)
+        gate, own = x @ p[f"W{d}"] + p[f"b{d}"], h @ p[f"U{d}"]
+        z, r = gru.sigmoid(gate[:k] + own[:k]), gru.sigmoid(gate[k : 2 * k] + own[k : 2 * k])
+        return z * h + (1 - z) * np.tanh(gate[2 * k :] + r * own[2 * k :])
+
+    def logit(x):
+        k = p["Uf"].shape[0]
+        sides = []
+        for d, rows in (("f", x), ("b", x[::-1])):
+            h, out = np.zeros(k), []
+            for row in rows:
+                h = step(h, row, d)
+                out.append(h)
+            sides.append(out if d == "f" else out[::-1])
+        h = np.concatenate((np.array(sides[0]), np.array(sides[1])), axis=1)
+        e = np.tanh(h @ p["A"] + p["a"]) @ p["v"]
+        a = np.exp(e - e.max())
+        return float((a / a.sum()) @ h @ p["w"] + p["c"][0])
+
+    for t, got_ in zip(texts, m.score(texts), strict=True):
+        ids, distinct, ends = words.numbered([t])
+        if not len(ids):
+            assert got_ == min(m.base, 0.49)
+            continue
+        x = m.inputs(distinct).astype(np.float64)[ids]
+        starts = sorted({min(i, max(0, len(x) - toxicity.WINDOW)) for i in range(0, max(1, len(x) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)})
+        best = max(logit(x[i : i + toxicity.WINDOW]) for i in starts)
+        want = gru.sigmoid(m.curve[0] + m.curve[1] * best + m.curve[2] * np.log(len(starts)))
+        assert abs(want - got_) < 1e-3
+
+
 def test_no_labels_no_model(spark, sf, empty):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert toxicity.fit(docs, spark.read.parquet(f"{empty}/labels.parquet")) is None
