@@ -193,9 +193,8 @@ def plain_components(pairs):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_cycles_of_sparse_random_graphs(spark, seed):
-    r = random.Random(seed)
+def test_cycles_of_a_sparse_random_graph(spark):
+    r = random.Random(1)
     pairs = [(f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(48)] + [(f"c{i}", f"c{i + 1}") for i in range(9)] + [("c9", "n1"), ("n2", "c0")]
     assert components(spark, pairs) == plain_components(pairs)
 
