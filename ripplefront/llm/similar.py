@@ -9,7 +9,9 @@ is found by a prefix filter. Each entry lists the first of its shingles in an or
 entries keep: of n shingles, so many that two entries as similar as the threshold share at
 least SHARED listed ones, and all but as many as a similar pair of their sizes may lack. Any
 order does; frequent shingles, told from a sample, come last, so that lists stay short. Pairs
-that share so many, and that sizes and places don't rule out, are compared.
+that share so many, and that sizes, places and marks don't rule out, are compared. Marks are
+PARITY_BITS parities of an entry's shingles: two entries differ in at least as many shingles as
+in parities, so pairs that differ in too many can't be similar, and no similar pair is lost.
 
 Only components count: pairs already in one component aren't tried again. So a group of near
 copies isn't all pairs: first the SimHash links join its members; then, in long lists, each
@@ -31,6 +33,9 @@ from .decontaminate import SHINGLE_WORDS, THRESHOLD, among, shingles, word_codes
 SAMPLE_DOCS, FREQUENT = 20_000, 4
 #: Listed shingles that a pair has to share.
 SHARED = 6
+#: Parities kept of each entry's shingles, a multiple of 64.
+PARITY_BITS = 128
+MARKS = [f"mark{i}" for i in range(PARITY_BITS // 64)]
 #: Members from which a list is long; how often, and with how many others, its members are compared first.
 LONG, ROUNDS, NEXT = 200, 1, 8
 
@@ -51,6 +56,12 @@ def shingle_sets(texts: list[str]):
         start = end
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """The marks of a set of shingles: how many of each of PARITY_BITS kinds it has, modulo 2."""
+    odd = np.bincount((own % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def n_listed(n, threshold: float):
     """How many of n shingles are listed."""
     return np.minimum(n, n - np.ceil(threshold * np.asarray(n) - 1e-9) + SHARED).astype(np.int64)
@@ -108,15 +119,16 @@ def _tried(lists: DataFrame, threshold: float, most: int | None = None) -> DataF
     """
     import pyarrow as pa
 
-    names = ["key", "g", "n", "i", "class"]
+    names = ["key", "g", "n", "i", "class", *MARKS]
 
     def run(batches):
         out, held = [], 0
-        for _, g, n, i, c in _lists(batches, names):
+        for _, g, n, i, c, *marks in _lists(batches, names):
             if (c == c[0]).all():
                 continue
             order = np.argsort(n, kind="stable")
             g, n, i, c = g[order], n[order].astype(np.int64), i[order].astype(np.int64), c[order]
+            marks = [m[order].view(np.uint64) for m in marks]  # of signed numbers the bits of the absolute value are counted
             tops = np.searchsorted(n, n / threshold + 1e-6, side="right")
             spare = n_listed(n, threshold) - n
             for k, top in enumerate(tops.tolist()):
@@ -124,6 +136,8 @@ def _tried(lists: DataFrame, threshold: float, most: int | None = None) -> DataF
                 need = np.ceil(threshold / (1 + threshold) * (n[k] + n[near]) - 1e-6).astype(np.int32)
                 # of what stands before the shared shingle, and from it on, the shorter part at most
                 ok = (c[near] != c[k]) & (np.minimum(i[k], i[near]) + np.minimum(n[k] - i[k], n[near] - i[near]) >= need)
+                differ = sum(np.bitwise_count(m[k] ^ m[near]).astype(np.int64) for m in marks)
+                ok &= n[k] + n[near] - differ >= 2 * need
                 if most is not None:
                     ok &= np.cumsum(ok) <= most
                 if ok.any():
@@ -198,23 +212,26 @@ def representatives(df: DataFrame, doc_id: str, text: str, threshold: float = TH
 
         frequent, rank = shared.value
         for b in common.slices(batches, "text"):
-            g, fp, n, first = [], [], [], []
+            g, fp, n, first, marks = [], [], [], [], [np.zeros((0, len(MARKS)), np.int64)]
             for own in shingle_sets(b.column("text").to_pylist()):
                 g.append(xxh3_64_intdigest(own.tobytes()))
                 fp.append(simhash.majority(own[i : i + simhash.CHUNK] for i in range(0, len(own), simhash.CHUNK)))
                 n.append(len(own))
                 first.append(listed(own, frequent, rank, threshold))
+                marks.append(parities(own)[None])
             ends = np.concatenate(([0], np.cumsum([len(p) for p in first]))).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)
             signed = [pa.array(np.array(v, dtype=np.uint64).view(np.int64)) for v in (g, fp)]
             arrays = [*signed, pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("x"), *arrays], names=["doc_id", "x", "g", "fp", "n", "first"])
+            arrays += [pa.array(m) for m in np.concatenate(marks).T.copy()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("x"), *arrays], names=["doc_id", "x", "g", "fp", "n", "first", *MARKS])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = common.stored(rows.mapInArrow(made, f"doc_id {kind}, x long, g long, fp long, n int, first array<long>"), "similar")
+    ddl = f"doc_id {kind}, x long, g long, fp long, n int, first array<long>, " + ", ".join(f"{m} long" for m in MARKS)
+    found = common.stored(rows.mapInArrow(made, ddl), "similar")
     # the row whose text stands for an entry, and the smallest id of it
     by = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x")
-    entries = common.stored(found.groupBy("g").agg(F.min(by).alias("least"), F.min("fp").alias("fp")), "similar-entries")
+    entries = common.stored(found.groupBy("g").agg(F.min(by).alias("least"), *[F.min(c).alias(c) for c in ("fp", *MARKS)]), "similar-entries")
 
     # rows of an entry list the same
     postings = found.select("g", "n", "first").dropDuplicates(["g"]).select("g", "n", F.posexplode("first").alias("i", "key"))
@@ -230,11 +247,11 @@ def representatives(df: DataFrame, doc_id: str, text: str, threshold: float = TH
     links = _verified(_hashed(entries).distinct(), entries, rows, threshold)
     long = lists.where(F.col("size") > LONG)
     for _ in range(0 if long.isEmpty() else ROUNDS):
-        more = _verified(_tried(_classed(long, links), threshold, NEXT), entries, rows, threshold)
+        more = _verified(_tried(_classed(long, entries, links), threshold, NEXT), entries, rows, threshold)
         if more.isEmpty():
             break
         links = links.unionByName(more)
-    links = links.unionByName(_verified(_tried(_classed(lists, links), threshold), entries, rows, threshold))
+    links = links.unionByName(_verified(_tried(_classed(lists, entries, links), threshold), entries, rows, threshold))
     found_in = components(links, "a", "b").withColumnRenamed("node", "g")
 
     least = entries.join(found_in, "g", "left").groupBy(F.coalesce("component", "g").alias("component")).agg(F.min("least").alias("least"))
@@ -243,11 +260,12 @@ def representatives(df: DataFrame, doc_id: str, text: str, threshold: float = TH
     return copies.join(won.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("x") == F.col("y")), "left_semi")
 
 
-def _classed(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """The lists with the component, so far, of each entry as ``class``."""
+def _classed(lists: DataFrame, entries: DataFrame, links: DataFrame) -> DataFrame:
+    """The lists with the component, so far, of each entry as ``class``, and with its marks."""
     classes = components(links, "a", "b").select(F.col("node").alias("g"), F.col("component").alias("class"))
-    classes = common.stored(classes, "similar-classes")
-    return lists.join(classes, "g", "left").withColumn("class", F.coalesce("class", "g"))
+    marked = entries.select("g", *MARKS).join(classes, "g", "left").withColumn("class", F.coalesce("class", "g"))
+    # as many rows as entries: joined by a shuffle at every size
+    return lists.join(common.stored(marked, "similar-classes").hint("merge"), "g")
 
 
 def _hashed(entries: DataFrame) -> DataFrame:
