@@ -34,7 +34,7 @@ SAMPLE_DOCS, FREQUENT = 20_000, 4
 #: Listed shingles that a pair has to share.
 SHARED = 6
 #: Parities kept of each entry's shingles, a multiple of 64.
-PARITY_BITS = 128
+PARITY_BITS = 64
 MARKS = [f"mark{i}" for i in range(PARITY_BITS // 64)]
 #: Members from which a list is long; how often, and with how many others, its members are compared first.
 LONG, ROUNDS, NEXT = 200, 1, 8
@@ -231,27 +231,29 @@ def representatives(df: DataFrame, doc_id: str, text: str, threshold: float = TH
     found = common.stored(rows.mapInArrow(made, ddl), "similar")
     # the row whose text stands for an entry, and the smallest id of it
     by = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x")
-    entries = common.stored(found.groupBy("g").agg(F.min(by).alias("least"), *[F.min(c).alias(c) for c in ("fp", *MARKS)]), "similar-entries")
+    entries = common.stored(found.groupBy("g").agg(F.min(by).alias("least"), F.min("fp").alias("fp")), "similar-entries")
 
     # rows of an entry list the same
-    postings = found.select("g", "n", "first").dropDuplicates(["g"]).select("g", "n", F.posexplode("first").alias("i", "key"))
+    postings = found.select("g", "n", "first", *MARKS).dropDuplicates(["g"]).select("g", "n", *MARKS, F.posexplode("first").alias("i", "key"))
+
+    names = ["key", "g", "n", "i", *MARKS]
 
     def several(batches):
-        for key, g, n, i in _lists(batches, ["key", "g", "n", "i"]):
-            size = np.full(len(key), len(key), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, g, n, i, size)], names=["key", "g", "n", "i", "size"])
+        for cols in _lists(batches, names):
+            size = np.full(len(cols[0]), len(cols[0]), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols, size)], names=[*names, "size"])
 
-    dealt = postings.select("key", "g", "n", "i").repartition(common.n_partitions(spark), "key").sortWithinPartitions("key")
-    lists = common.stored(dealt.mapInArrow(_joined(several), "key long, g long, n int, i int, size int"), "similar-lists")
+    dealt = postings.select(*names).repartition(common.n_partitions(spark), "key").sortWithinPartitions("key")
+    lists = common.stored(dealt.mapInArrow(_joined(several), "key long, g long, n int, i int, " + "".join(f"{m} long, " for m in MARKS) + "size int"), "similar-lists")
 
     links = _verified(_hashed(entries).distinct(), entries, rows, threshold)
     long = lists.where(F.col("size") > LONG)
     for _ in range(0 if long.isEmpty() else ROUNDS):
-        more = _verified(_tried(_classed(long, entries, links), threshold, NEXT), entries, rows, threshold)
+        more = _verified(_tried(_classed(long, links), threshold, NEXT), entries, rows, threshold)
         if more.isEmpty():
             break
         links = links.unionByName(more)
-    links = links.unionByName(_verified(_tried(_classed(lists, entries, links), threshold), entries, rows, threshold))
+    links = links.unionByName(_verified(_tried(_classed(lists, links), threshold), entries, rows, threshold))
     found_in = components(links, "a", "b").withColumnRenamed("node", "g")
 
     least = entries.join(found_in, "g", "left").groupBy(F.coalesce("component", "g").alias("component")).agg(F.min("least").alias("least"))
@@ -260,12 +262,11 @@ def representatives(df: DataFrame, doc_id: str, text: str, threshold: float = TH
     return copies.join(won.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("x") == F.col("y")), "left_semi")
 
 
-def _classed(lists: DataFrame, entries: DataFrame, links: DataFrame) -> DataFrame:
-    """The lists with the component, so far, of each entry as ``class``, and with its marks."""
+def _classed(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """The lists with the component, so far, of each entry as ``class``."""
     classes = components(links, "a", "b").select(F.col("node").alias("g"), F.col("component").alias("class"))
-    marked = entries.select("g", *MARKS).join(classes, "g", "left").withColumn("class", F.coalesce("class", "g"))
-    # as many rows as entries: joined by a shuffle at every size
-    return lists.join(common.stored(marked, "similar-classes").hint("merge"), "g")
+    classes = common.stored(classes, "similar-classes")
+    return lists.join(classes, "g", "left").withColumn("class", F.coalesce("class", "g"))
 
 
 def _hashed(entries: DataFrame) -> DataFrame:
