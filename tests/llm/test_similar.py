@@ -111,24 +111,6 @@ def test_groups_at_08_are_found(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == want
 
 
-def test_sets_differ_in_as_many_shingles_as_parities():
-    import numpy as np
-
-    from ripplefront.llm import similar
-
-    r = np.random.default_rng(3)
-    ruled_out = 0
-    for n in (0, 1, 5, 40, 150, 3000):
-        for shared in (0, 0.5, 0.8, 0.9, 1):
-            every = np.unique(r.integers(0, 1 << 63, 2 * n, dtype=np.uint64))
-            k = int(n * shared)
-            a, b = every[:n], np.concatenate((every[:k], every[n : 2 * n - k]))
-            differ = int(np.bitwise_count((similar.parities(a) ^ similar.parities(b)).view(np.uint64)).sum())
-            assert differ <= len(np.setxor1d(a, b))
-            ruled_out += len(a) + len(b) - differ < 2 * np.ceil(0.8 / 1.8 * (len(a) + len(b)))
-    assert ruled_out
-
-
 def test_null_ids_of_unlike_texts_stay(spark):
     texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"]
     rows = [(None, t, "en", "s") for t in [*texts, texts[0], texts[1] + " more"]] + [(7, texts[2] + " more", "en", "s")]
