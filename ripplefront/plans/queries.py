@@ -18,8 +18,8 @@ from .encodings import view, with_views
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-#: Depth limit of the traces: it binds, as chains are longer.
-DEPTH = 3
+#: Depth limit of the traces, the default of the operator.
+DEPTH = 10
 
 
 def query(name: str, sql: str | None = None):
