@@ -7,9 +7,13 @@ verified exactly. At a similarity of 0.8 about 10 of 64 bits differ, which may s
 bytes, so no count of shared bytes is guaranteed there: what lies beyond the index's radius
 is found by a prefix filter. Each entry lists the first of its shingles in an order all
 entries keep: of n shingles, so many that two entries as similar as the threshold share at
-least SHARED listed ones, and all but as many as a similar pair of their sizes may lack. Any
-order does; frequent shingles, told from a sample, come last, so that lists stay short. Pairs
-that share so many, and that sizes and places don't rule out, are compared.
+least SHARED listed ones. Any order does; frequent shingles, told from a sample, come last,
+so that lists stay short. A pair that has to share ``need`` of its n and m shingles has the
+first SHARED of them among its first n - need + SHARED and m - need + SHARED, as those that
+follow must hold the rest: only places up to there count for it. (If need is less, that many.)
+So members of a group that are too unlike, whose own rare shingles fill these places, yield
+no rows, though they share many frequent ones. Pairs that share so many there, and that
+sizes and places don't rule out, are compared.
 
 Only components count: pairs already in one component aren't tried again. So a group of near
 copies isn't all pairs: first the SimHash links join its members; then, in long lists, each
@@ -53,7 +57,7 @@ def shingle_sets(texts: list[str]):
 
 def n_listed(n, threshold: float):
     """How many of n shingles are listed."""
-    return np.minimum(n, n - np.ceil(threshold * np.asarray(n) - 1e-9) + SHARED).astype(np.int64)
+    return np.minimum(n, n - np.ceil(threshold * np.asarray(n) - 1e-6) + SHARED).astype(np.int64)
 
 
 def listed(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray, threshold: float) -> np.ndarray:
@@ -118,19 +122,19 @@ def _tried(lists: DataFrame, threshold: float, most: int | None = None) -> DataF
             order = np.argsort(n, kind="stable")
             g, n, i, c = g[order], n[order].astype(np.int64), i[order].astype(np.int64), c[order]
             tops = np.searchsorted(n, n / threshold + 1e-6, side="right")
-            spare = n_listed(n, threshold) - n
             for k, top in enumerate(tops.tolist()):
                 near = slice(k + 1, top)
                 need = np.ceil(threshold / (1 + threshold) * (n[k] + n[near]) - 1e-6).astype(np.int32)
+                left, others = n[k] - i[k], n[near] - i[near]
                 # of what stands before the shared shingle, and from it on, the shorter part at most
-                ok = (c[near] != c[k]) & (np.minimum(i[k], i[near]) + np.minimum(n[k] - i[k], n[near] - i[near]) >= need)
+                ok = (c[near] != c[k]) & (np.minimum(i[k], i[near]) + np.minimum(left, others) >= need)
+                # one of the first SHARED that they share: from it on, all the others are left
+                ok &= np.minimum(left, others) > need - SHARED
                 if most is not None:
                     ok &= np.cumsum(ok) <= most
                 if ok.any():
                     b = g[near][ok]
-                    # what the one whose list ends first may lack is less than it lists
-                    least = need[ok] + np.minimum(spare[k], spare[near][ok]).astype(np.int32)
-                    out.append((np.minimum(g[k], b), np.maximum(g[k], b), least))
+                    out.append((np.minimum(g[k], b), np.maximum(g[k], b), np.minimum(need[ok], SHARED).astype(np.int32)))
                     held += len(b)
                 if held > 1 << 16:
                     yield _pairs(out)

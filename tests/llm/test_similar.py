@@ -111,6 +111,35 @@ def test_groups_at_08_are_found(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.95])
+def test_no_similar_pair_is_left_untried(spark, threshold):
+    import numpy as np
+
+    from ripplefront.llm import similar
+
+    r = np.random.default_rng(8)
+    hot = r.integers(1, 1 << 62, 30, dtype=np.uint64)  # shared by nearly all, and listed last
+    sets = [r.integers(1, 1 << 62, n, dtype=np.uint64) for n in range(1, 41)]
+    for own in list(sets):
+        for part in (0.05, 0.12, 0.25):
+            kept = own[r.random(len(own)) >= part]
+            sets.append(np.concatenate((kept, r.integers(1, 1 << 62, r.integers(0, 3), dtype=np.uint64))))
+    sets += [np.concatenate((own, hot)) for own in sets]
+    sets = [np.unique(own) for own in sets if len(own)]
+    frequent = np.sort(hot)
+    rows = []
+    for g, own in enumerate(sets):
+        first = similar.listed(own, frequent, np.arange(len(frequent)), threshold).view(np.int64).tolist()
+        rows += [(key, g, len(own), i, g) for i, key in enumerate(first)]
+    whole = [set(own.tolist()) for own in sets]
+    pairs = [(a, b) for b in range(len(whole)) for a in range(b)]
+    want = {(a, b) for a, b in pairs if len(whole[a] & whole[b]) >= threshold * len(whole[a] | whole[b]) - 1e-9}
+    lists = spark.createDataFrame(rows, "key long, g long, n int, i int, class long")
+    got = {(p["a"], p["b"]) for p in similar._tried(lists, threshold).collect()}
+    assert len(want) > 40 and want <= got
+    assert len(got) < sum(bool(whole[a] & whole[b]) for a, b in pairs) / 2
+
+
 def test_null_ids_of_unlike_texts_stay(spark):
     texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"]
     rows = [(None, t, "en", "s") for t in [*texts, texts[0], texts[1] + " more"]] + [(7, texts[2] + " more", "en", "s")]
