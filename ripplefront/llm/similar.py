@@ -17,8 +17,9 @@ sizes and places don't rule out, are compared.
 
 Only components count: pairs already in one component aren't tried again. So a group of near
 copies isn't all pairs: first the SimHash links join its members; then, in long lists, each
-entry is compared with the next few by size that are in other components, ROUNDS times; what
-is in different components after that is compared in full.
+entry in another component is compared with the CENTRES members that are in the most long
+lists, as what a group's members vary from has the most of what they share; what is in
+different components after that is compared in full.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ from .decontaminate import SHINGLE_WORDS, THRESHOLD, among, shingles, word_codes
 SAMPLE_DOCS, FREQUENT = 20_000, 4
 #: Listed shingles that a pair has to share.
 SHARED = 6
-#: Members from which a list is long; how often, and with how many others, its members are compared first.
-LONG, ROUNDS, NEXT = 200, 1, 8
+#: Members from which a list is long, and with how many of them all its members are compared first.
+LONG, CENTRES = 200, 4
 
 
 def shingle_sets(texts: list[str]):
@@ -105,13 +106,31 @@ def _lists(batches, names: list[str]):
         yield held
 
 
-def _tried(lists: DataFrame, threshold: float, most: int | None = None) -> DataFrame:
-    """(a, b): pairs in different classes that share enough and may reach the threshold.
+def _centred(lists: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): each list's members, and the few of them in most lists, if in different classes.
 
-    With ``most``, only so many partners of each entry in each list, the next by size.
+    These are a first choice of pairs, a few for each listed shingle, not all that may link.
     """
     import pyarrow as pa
 
+    names = ["key", "g", "n", "class", "w"]
+
+    def run(batches):
+        for _, g, n, c, w in _lists(batches, names):
+            for at in np.lexsort((g, -w))[:CENTRES].tolist():
+                near = np.minimum(n, n[at]) >= threshold * np.maximum(n, n[at]) - 1e-6
+                b = g[near & (c != c[at])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(b, g[at])), pa.array(np.maximum(b, g[at]))], names=["a", "b"])
+
+    often = lists.groupBy("g").agg(F.count(F.lit(1)).alias("w"))
+    dealt = lists.join(often, "g").select(*names).repartition(common.n_partitions(lists.sparkSession), "key")
+    return dealt.sortWithinPartitions("key").mapInArrow(_joined(run), "a long, b long").distinct()
+
+
+def _tried(lists: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs in different classes that share enough and may reach the threshold."""
+    import pyarrow as pa
+
     names = ["key", "g", "n", "i", "class"]
 
     def run(batches):
@@ -130,8 +149,6 @@ def _tried(lists: DataFrame, threshold: float, most: int | None = None) -> DataF
                 ok = (c[near] != c[k]) & (np.minimum(i[k], i[near]) + np.minimum(left, others) >= need)
                 # one of the first SHARED that they share: from it on, all the others are left
                 ok &= np.minimum(left, others) > need - SHARED
-                if most is not None:
-                    ok &= np.cumsum(ok) <= most
                 if ok.any():
                     b = g[near][ok]
                     out.append((np.minimum(g[k], b), np.maximum(g[k], b), np.minimum(need[ok], SHARED).astype(np.int32)))
@@ -147,8 +164,6 @@ def _tried(lists: DataFrame, threshold: float, most: int | None = None) -> DataF
 
     dealt = lists.select(*names).repartition(common.n_partitions(lists.sparkSession), "key").sortWithinPartitions("key")
     pairs = dealt.mapInArrow(run, "a long, b long, need int")
-    if most is not None:  # not all shared shingles name the pair
-        return pairs.select("a", "b").distinct()
     counted = pairs.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("shared"))
     return counted.where("shared >= need").select("a", "b")
 
@@ -233,11 +248,8 @@ def representatives(df: DataFrame, doc_id: str, text: str, threshold: float = TH
 
     links = _verified(_hashed(entries).distinct(), entries, rows, threshold)
     long = lists.where(F.col("size") > LONG)
-    for _ in range(0 if long.isEmpty() else ROUNDS):
-        more = _verified(_tried(_classed(long, links), threshold, NEXT), entries, rows, threshold)
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
+    if not long.isEmpty():
+        links = links.unionByName(_verified(_centred(_classed(long, links), threshold), entries, rows, threshold))
     links = links.unionByName(_verified(_tried(_classed(lists, links), threshold), entries, rows, threshold))
     found_in = components(links, "a", "b").withColumnRenamed("node", "g")
 
