@@ -246,12 +246,12 @@ def representatives(df: DataFrame, doc_id: str, text: str, threshold: float = TH
     dealt = postings.select("key", "g", "n", "i").repartition(common.n_partitions(spark), "key").sortWithinPartitions("key")
     lists = common.stored(dealt.mapInArrow(_joined(several), "key long, g long, n int, i int, size int"), "similar-lists")
 
-    links = _verified(_hashed(entries).distinct(), entries, rows, threshold)
+    classes = _classes(_verified(_hashed(entries).distinct(), entries, rows, threshold))
     long = lists.where(F.col("size") > LONG)
     if not long.isEmpty():
-        links = links.unionByName(_verified(_centred(_classed(long, links), threshold), entries, rows, threshold))
-    links = links.unionByName(_verified(_tried(_classed(lists, links), threshold), entries, rows, threshold))
-    found_in = components(links, "a", "b").withColumnRenamed("node", "g")
+        classes = _classes(_verified(_centred(_classed(long, classes), threshold), entries, rows, threshold), classes)
+    classes = _classes(_verified(_tried(_classed(lists, classes), threshold), entries, rows, threshold), classes)
+    found_in = classes.withColumnRenamed("class", "component")
 
     least = entries.join(found_in, "g", "left").groupBy(F.coalesce("component", "g").alias("component")).agg(F.min("least").alias("least"))
     won = least.select(F.col("least.doc_id").alias("id"), F.col("least.x").alias("y"))
@@ -259,10 +259,19 @@ def representatives(df: DataFrame, doc_id: str, text: str, threshold: float = TH
     return copies.join(won.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("x") == F.col("y")), "left_semi")
 
 
-def _classed(lists: DataFrame, links: DataFrame) -> DataFrame:
+def _classes(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(g, class): the component of each linked entry; ``before`` are those that earlier links made.
+
+    Earlier components come as a link from each member to the smallest, which settles at once.
+    """
+    if before is not None:
+        links = links.unionByName(before.select(F.col("g").alias("a"), F.col("class").alias("b")))
+    found = components(links, "a", "b").select(F.col("node").alias("g"), F.col("component").alias("class"))
+    return common.stored(found, "similar-classes")
+
+
+def _classed(lists: DataFrame, classes: DataFrame) -> DataFrame:
     """The lists with the component, so far, of each entry as ``class``."""
-    classes = components(links, "a", "b").select(F.col("node").alias("g"), F.col("component").alias("class"))
-    classes = common.stored(classes, "similar-classes")
     return lists.join(classes, "g", "left").withColumn("class", F.coalesce("class", "g"))
 
 
