@@ -209,6 +209,25 @@ def test_members_are_the_pairs(spark):
     assert pairs == {tuple(x) for x in cross.pairs(a, p).collect()} == {("db:t", "w1", "r1"), ("db:t", "w2", "r1")}
 
 
+def test_pairs_of_many_blocks(spark, monkeypatch):
+    for name, n in (("BLOCK", 16), ("RUN", 4), ("FEW", 3)):
+        monkeypatch.setattr(cross, name, n)
+    writers = [(f"w{i}", "hot") for i in range(90)] + [(None, "hot"), ("w0", "one"), ("w1", "no reader")]
+    readers = [(f"r{i}", "hot") for i in range(41)] + [(None, "hot"), ("w0", "hot"), ("r0", "one"), ("r1", "no writer")]
+    f = build(spark, db=[(n, "Insert", t) for n, t in writers] + [(n, "Select", t) for n, t in readers], methods=())
+    want = sorted(repr((f"db:{t}", a, b)) for a, t in writers for b, u in readers if t == u)
+    assert sorted(repr(tuple(x)) for x in cross.pairs(*cross.resources(f)).collect()) == want
+
+
+def test_pairs_are_stored_in_few_bytes(spark, tmp_path, request):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    side = lambda c, n: spark.range(n).selectExpr("'kafka:t' AS resource", f"concat('{c}', id) AS fqn")
+    cross.pairs(side("p", 400), side("c", 20_000)).write.parquet(path := str(tmp_path / "pairs"))
+    assert spark.read.parquet(path).count() == 8_000_000
+    assert sum(x.stat().st_size for x in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * 8_000_000
+
+
 def test_random_cycles_against_closure(spark):
     r = random.Random(3)
     pairs = [(f"n{r.randrange(14)}", f"n{r.randrange(14)}") for _ in range(22)]
