@@ -4,6 +4,7 @@ import json
 import os
 import random
 
+import pyarrow.parquet as pq
 import pytest
 
 from ripplefront import schemas
@@ -228,6 +229,24 @@ def test_pairs_are_stored_in_few_bytes(spark, tmp_path, request):
     assert sum(x.stat().st_size for x in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * 8_000_000
 
 
+def test_pairs_of_many_names_are_stored_by_dictionary(spark, tmp_path, request):
+    for name, value, before in (("spark.sql.shuffle.partitions", "1", "4"), ("spark.sql.autoBroadcastJoinThreshold", "-1", "10MB")):
+        spark.conf.set(name, value)
+        request.addfinalizer(lambda n=name, v=before: spark.conf.set(n, v))
+    side = lambda c, n: spark.range(40 * n).selectExpr("concat('db:t', id % 40) AS resource", f"concat('{c}', id, '::order') AS fqn")
+    cross.pairs(side("w", 3000), side("r", 50)).write.parquet(path := str(tmp_path / "pairs"))
+    assert spark.read.parquet(path).count() == 40 * 3000 * 50
+    files = [pq.ParquetFile(x).metadata for x in (tmp_path / "pairs").glob("*.parquet")]
+    assert {"PLAIN"} & {e for m in files for g in range(m.num_row_groups) for c in range(3) for e in m.row_group(g).column(c).encodings} == set()
+
+
+def test_pairs_of_repeated_facts(spark):
+    db = [("w", "Insert", "t"), ("w", "Update", "t"), (None, "Insert", "t"), (None, "Delete", "t"), ("r", "Select", "t"), ("w", "Select", "t"), (None, "Select", "t")]
+    f = build(spark, db=[x for x in db for _ in range(3)], methods=())
+    assert sorted(map(repr, map(tuple, cross.pairs(*cross.sides(f)).collect()))) == sorted(repr(("db:t", a, b)) for a in ("w", None) for b in ("r", "w", None))
+    assert cross.pairs(*cross.sides(fx.empty(spark))).count() == 0
+
+
 def test_random_cycles_against_closure(spark):
     r = random.Random(3)
     pairs = [(f"n{r.randrange(14)}", f"n{r.randrange(14)}") for _ in range(22)]
