@@ -53,6 +53,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     with common.scratch(spark) as keep:
         won = similar.representatives(docs, "doc_id", "text").select(F.col("doc_id").alias("id"), F.col("x").alias("y"), "copies")
         kept = keep(common.stored(won, "kept-rows"))
+    common.reclaim(spark)
     text = F.coalesce("text", F.lit(""))
     rows = common.packed(docs, cols, F.col("doc_id"), F.xxhash64(text).alias("x"))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("x") == F.col("y"))

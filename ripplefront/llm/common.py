@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -16,6 +18,7 @@ SPACE = r"\x20\x09-\x0D"
 
 _own_scratch: dict[str, str] = {}
 _written: list[str] = []
+_reclaimed: dict[str, float] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +93,24 @@ def drop_stored(df: DataFrame) -> None:
     delete_path(df.sparkSession, df.scratch)
 
 
+def reclaim(spark: SparkSession, every: float = 5.0) -> None:
+    """Let shuffles and broadcasts that no frame needs any more leave the disks, and garbage the driver.
+
+    Spark deletes them once the driver's JVM happens to collect the plans that hold them, which a
+    large heap may put off for long, while every next step adds its own. Python tells the JVM of
+    frames that are gone by a thread that sleeps a second at a time: it is waited for. A call
+    within ``every`` seconds of the last does nothing.
+    """
+    if time.monotonic() - _reclaimed.get("at", -every) < every:
+        return
+    gc.collect()
+    untold, until = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", ()), time.monotonic() + 2
+    while untold and time.monotonic() < until:
+        time.sleep(0.05)
+    spark.sparkContext._jvm.System.gc()
+    _reclaimed["at"] = time.monotonic()
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

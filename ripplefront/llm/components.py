@@ -14,10 +14,10 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 100) -> DataFrame
     Each round hangs a node's larger neighbours on its smallest one, then its smaller ones
     on the smallest. A node with very many links only ever folds them into a minimum, which
     Spark combines before the shuffle; no neighbour list is gathered. Rounds are written to
-    the shared folder, and end when a round changes nothing: then each node hangs directly
-    on its component's smallest node. As stars form, one node may hold most links: the few
-    such nodes are broadcast, so their links aren't sent to one task. Self links count as
-    none; nulls are left out.
+    the shared folder, what they shuffled is given back, and they end when a round changes
+    nothing: then each node hangs directly on its component's smallest node. As stars form,
+    one node may hold most links: the few such nodes are broadcast, so their links aren't
+    sent to one task. Self links count as none; nulls are left out.
     """
     x, y = F.col(a), F.col(b)
     edges = links.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
@@ -29,6 +29,7 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 100) -> DataFrame
         small = _small_star(_large_star(edges, state[0]), state[0])
         last, edges = edges, common.stored(small, "links")
         common.drop_stored(last)
+        common.reclaim(links.sparkSession)
         before, state = state, _state(edges)
         if state == before:
             break

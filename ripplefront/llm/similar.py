@@ -38,6 +38,8 @@ SAMPLE_DOCS, FREQUENT = 20_000, 4
 SHARED = 6
 #: Members from which a list is long, and with how many of them all its members are compared first.
 LONG, CENTRES = 200, 4
+#: The filter of rows whose texts are compared has at most so many bits (16 MB).
+FILTER_BITS = 1 << 27
 
 
 def shingle_sets(texts: list[str]):
@@ -170,28 +172,68 @@ def _tried(lists: DataFrame, threshold: float) -> DataFrame:
 
 def _verified(pairs: DataFrame, entries: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """The pairs that reach the threshold; the texts of their entries are fetched."""
-    with common.scratch(entries.sparkSession) as keep:
-        return keep(_verify(common.stored(pairs, "similar-pairs"), entries, rows, threshold))
+    spark = entries.sparkSession
+    with common.scratch(spark) as keep:
+        links = keep(_verify(common.stored(pairs, "similar-pairs"), entries, rows, threshold))
+    common.reclaim(spark)
+    return links
+
+
+def _row_key(doc_id, x):
+    return F.xxhash64(F.lit("similar"), doc_id, x)
+
+
+def _filter_of(keys: DataFrame) -> np.ndarray:
+    """A bit for each value of the column ``h``, at h modulo the number of bits, as bytes.
+
+    About 16 bits a key, FILTER_BITS at most: with more keys than that suits, more rows that
+    aren't asked for pass, and go in the join that follows.
+    """
+    n = max(1, keys.count())
+    bits = min(FILTER_BITS, max(1 << 15, 1 << (16 * n - 1).bit_length()))
+    at = keys.select(F.pmod("h", F.lit(bits)).alias("at"))
+    # bit_position counts from 0, bucket_number from 1, in buckets of 32,768 bits from value 1 on
+    parts = at.select(F.bitmap_bucket_number(F.col("at") + 1).alias("k"), F.bitmap_bit_position(F.col("at") + 1).alias("p"))
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in parts.groupBy("k").agg(F.bitmap_construct_agg("p").alias("map")).toArrow().to_pylist():
+        own = np.frombuffer(r["map"], dtype=np.uint8)
+        out[(r["k"] - 1) * 4096 : (r["k"] - 1) * 4096 + len(own)] = own
+    return out
+
+
+def _passed(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which values have their bit set."""
+    at = h % (8 * len(filter_))
+    return (filter_[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def _verify(pairs: DataFrame, entries: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     import pyarrow as pa
 
+    spark = entries.sparkSession
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("g")).distinct().join(entries, "g")
-    wanted = wanted.select("g", F.col("least.doc_id").alias("id"), F.col("least.x").alias("y"))
-    # pairs grow with the input: joined by shuffles at every size
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("x") == F.col("y"))
-    texts = rows.join(wanted.hint("merge"), same).select("g", "text")
+    wanted = common.stored(wanted.select(_row_key("least.doc_id", "least.x").alias("h")), "similar-wanted")
+    shared_filter = spark.sparkContext.broadcast(_filter_of(wanted))
+
+    def asked(batches):
+        for b in batches:
+            yield b.filter(pa.array(_passed(shared_filter.value, b.column("h").to_numpy())))
 
     def whole(batches):
-        for b in common.slices(batches, "text"):
+        from xxhash import xxh3_64_intdigest
+
+        for b in common.slices(asked(batches), "text"):
             own = list(shingle_sets(b.column("text").to_pylist()))
+            g = np.array([xxh3_64_intdigest(p.tobytes()) for p in own], dtype=np.uint64).view(np.int64)
             ends = np.concatenate(([0], np.cumsum([len(p) for p in own]))).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("g"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["g", "own"])
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["g", "own"])
 
-    # rows repeated under one id have equal texts
+    # only what is asked for is shuffled, not all texts; rows repeated under one id have equal texts
+    texts = rows.select(_row_key("doc_id", "x").alias("h"), "text")
     sets = common.stored(texts.mapInArrow(whole, "g long, own array<long>").dropDuplicates(["g"]), "similar-sets")
+    common.reclaim(spark)
+    # pairs grow with the input: joined by shuffles at every size
     one, two = (sets.select(F.col("g").alias(c), F.col("own").alias(f"own_{c}")) for c in "ab")
     both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
     shared, sizes = F.size(F.array_intersect("own_a", "own_b")), F.size("own_a") + F.size("own_b")
@@ -210,7 +252,9 @@ def representatives(df: DataFrame, doc_id: str, text: str, threshold: float = TH
     spark = df.sparkSession
     body = common.text_or_empty(F.col(text).cast("string"))
     rows = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("x"), body.alias("text"))
-    shared = spark.sparkContext.broadcast(_frequent(rows, rows.count()))
+    total = rows.count()
+    shared = spark.sparkContext.broadcast(_frequent(rows, total))
+    common.reclaim(spark)
 
     def made(batches):
         from xxhash import xxh3_64_intdigest
@@ -246,6 +290,8 @@ def representatives(df: DataFrame, doc_id: str, text: str, threshold: float = TH
     dealt = postings.select("key", "g", "n", "i").repartition(common.n_partitions(spark), "key").sortWithinPartitions("key")
     lists = common.stored(dealt.mapInArrow(_joined(several), "key long, g long, n int, i int, size int"), "similar-lists")
 
+    common.reclaim(spark)
+
     classes = _classes(_verified(_hashed(entries).distinct(), entries, rows, threshold))
     long = lists.where(F.col("size") > LONG)
     if not long.isEmpty():

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -172,3 +173,69 @@ def test_no_language_to_learn_from(spark):
     rows = [(1, "words of some language", None, "s"), (2, "a", None, "s"), (3, "1234 !!", None, "s"), (4, None, None, "s")]
     got = corpus_pipeline.language_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()
     assert sorted(x["doc_id"] for x in got) == [1, 2]
+
+
+def shuffle_bytes(spark):
+    """What shuffles hold on this process's disks."""
+    from pathlib import Path
+
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(f.stat().st_size for d in folders for f in Path(str(d.getPath())).rglob("shuffle_*") if f.exists())
+
+
+def test_verification_shuffles_the_texts_it_compares_only(spark):
+    from pyspark.sql import functions as F
+    from xxhash import xxh3_64_intdigest
+
+    from ripplefront.llm import similar
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefghijklmnop ", k=8000)) for _ in range(300)]
+    texts[1] = texts[0] + " one more"
+    rows = spark.createDataFrame([(i if i != 1 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = rows.select("doc_id", F.xxhash64("text").alias("x"), "text")
+    signed = lambda s: int(np.array([xxh3_64_intdigest(s.tobytes())], np.uint64).view(np.int64)[0])
+    ids = [signed(s) for s in similar.shingle_sets(texts)]
+    x = {r["doc_id"]: r["x"] for r in rows.select("doc_id", "x").collect()}
+    known = [(g, (i == 1, i if i != 1 else None, x[i if i != 1 else None])) for i, g in enumerate(ids)]
+    entries = spark.createDataFrame(known, "g long, least struct<none: boolean, doc_id: long, x: long>")
+    pairs = spark.createDataFrame([(ids[0], ids[1]), (ids[0], ids[2])], "a long, b long")
+    before = shuffle_bytes(spark)
+    found = similar._verified(pairs, entries, rows, 0.8)
+    assert [tuple(r) for r in found.collect()] == [(ids[0], ids[1])]
+    assert shuffle_bytes(spark) - before < sum(map(len, texts)) // 10
+
+
+def test_filter_passes_every_key(spark):
+    from pyspark.sql import functions as F
+
+    from ripplefront.llm import similar
+
+    for n in (0, 1, 5000):
+        keys = spark.range(n).select(F.when(F.col("id") == 0, F.lit(-(1 << 63))).otherwise(F.xxhash64("id")).alias("h"))
+        bits = similar._filter_of(keys)
+        h = np.array([r["h"] for r in keys.collect()], dtype=np.int64)
+        assert similar._passed(bits, h).all()
+        assert similar._passed(bits, np.random.default_rng(3).integers(-(1 << 63), (1 << 63) - 1, 20_000)).mean() < 0.13
+
+
+def test_reclaimed_shuffles_leave_the_disk(spark):
+    import time
+
+    from ripplefront.llm import common
+
+    def work():
+        spark.range(300_000).selectExpr("xxhash64(id) x", "id").repartition(4, "x").groupBy("x").count().write.format("noop").mode("overwrite").save()
+
+    common.reclaim(spark, 0)
+    time.sleep(1)
+    before = shuffle_bytes(spark)
+    work()
+    made = shuffle_bytes(spark) - before
+    until = time.monotonic() + 20
+    while shuffle_bytes(spark) - before > made // 10 and time.monotonic() < until:
+        spark.range(1).count()  # what ran last is held until something else runs
+        common.reclaim(spark, 0)
+        time.sleep(0.2)
+    assert made > 1 << 20
+    assert shuffle_bytes(spark) - before <= made // 10
